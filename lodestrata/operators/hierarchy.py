@@ -1,9 +1,11 @@
 """Parent-child links to full hierarchies, by bottom-up leaf peeling.
 
-Each round peels the nodes without unpeeled children and sends their subtree sizes to their parents, summed before
-the shuffle, so that a parent with very many children is no hot group. What is left when no leaf remains lies on
-a cycle. Then the peeled nodes get root, depth and path from above, in reverse order of peeling. Rounds are as many as
-the tallest tree is high; a round's cost is that of the nodes still waiting, and each writes its state to the shared
+Every node first learns its nearest HOPS ancestors by doubling. A round then peels the lowest HOPS layers of what is
+left: each node sends its distance and its part of the subtree size to those ancestors, combined before the shuffle, so
+that a parent with very many children is no hot group; who hears of no descendant HOPS steps down is peeled, its height
+being the farthest it heard of, and sends its subtree's size on to its parent. What no round can peel lies on a cycle.
+Then the peeled nodes get root, depth and path from above, in reverse order of peeling. Rounds are the height of the
+tallest tree by HOPS; a round's cost is that of the nodes still waiting, and each writes its state to the shared
 folder, so plans stay short and a lost executor costs one round at most. Only counts come to the driver.
 
 Defined results: null or blank ids are no nodes; a null or blank parent makes a root; repeated rows count once; a child
@@ -17,6 +19,9 @@ from pyspark.sql import functions as F
 
 from lodestrata.session import Scratch, norm_id
 
+#: Layers peeled in a round, and ancestors a node knows beforehand; a power of two.
+HOPS = 16
+
 
 def nodes(edges: DataFrame, child: str, parent: str) -> DataFrame:
     """node, parent (null for a root) for each distinct id of either column."""
@@ -29,63 +34,76 @@ def nodes(edges: DataFrame, child: str, parent: str) -> DataFrame:
     )
 
 
-def peel(all_nodes: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """Peeled nodes (node, parent, height, size) and those that no round could peel, i.e. the nodes of cycles."""
-    children = all_nodes.filter(F.col("parent").isNotNull()).groupBy("parent").agg(F.count("*").alias("k")).withColumnRenamed("parent", "node")
-    state = all_nodes.join(children, "node", "left").select("node", "parent", F.coalesce("k", F.lit(0)).alias("pending"), F.lit(1).cast("long").alias("size"))
-    height, done = 0, []
+def ancestors(all_nodes: DataFrame, scratch: Scratch) -> DataFrame:
+    """node, parent, up: the nearest HOPS ancestors, nearest first; fewer only where the root is reached. By doubling."""
+    state = all_nodes.select("node", "parent", F.when(F.col("parent").isNull(), F.array().cast("array<string>")).otherwise(F.array("parent")).alias("up"))
+    n = 1
+    while n < HOPS:
+        more = state.filter(F.size("up") > 0).select(F.col("node").alias("last"), F.col("up").alias("further"))
+        state = scratch.table(
+            state.withColumn("last", F.when(F.size("up") == n, F.element_at("up", -1)))
+            .join(more, "last", "left")
+            .select("node", "parent", F.concat("up", F.coalesce("further", F.array().cast("array<string>"))).alias("up"))
+        )
+        n *= 2
+    return state
+
+
+def peel(tree: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Peeled nodes (node, parent, up, height, size) and those that no round could peel, i.e. the nodes of cycles."""
+    state, base, done = tree.withColumn("acc", F.lit(1).cast("long")), 0, []
+    empty = tree.select("node", "parent", "up", F.lit(0).alias("height"), F.lit(1).cast("long").alias("size")).limit(0)
     while True:
-        leaves, n, rest, waiting = scratch.split(state.withColumn("leaf", F.col("pending") == 0), "leaf")
+        sent = state.select(F.posexplode("up").alias("i", "to"), "acc").groupBy(F.col("to").alias("node")).agg(F.max("i").alias("i"), F.sum("acc").alias("s"))
+        seen = state.join(sent, "node", "left").withColumn("h", F.coalesce(F.col("i") + 1, F.lit(0)))
+        peeled, n, rest, waiting = scratch.split(seen.withColumn("out", F.col("h") < HOPS), "out")
         if n:
-            done.append(leaves.select("node", "parent", F.lit(height).alias("height"), "size"))
+            peeled = peeled.select("node", "parent", "up", (F.col("h") + base).alias("height"), (F.col("acc") + F.coalesce("s", F.lit(0))).alias("size"))
+            done.append(peeled)
+        rest = rest.select("node", "parent", "up", "acc")
         if not n or not waiting:
             break
-        sent = leaves.filter(F.col("parent").isNotNull()).groupBy(F.col("parent").alias("node")).agg(F.count("*").alias("k"), F.sum("size").alias("s"))
-        state = rest.join(sent, "node", "left").select(
-            "node", "parent", (F.col("pending") - F.coalesce("k", F.lit(0))).alias("pending"), (F.col("size") + F.coalesce("s", F.lit(0))).alias("size")
-        )
-        height += 1
-    empty = all_nodes.select("node", "parent", F.lit(0).alias("height"), F.lit(1).cast("long").alias("size")).limit(0)
+        below = peeled.filter("parent is not null").groupBy(F.col("parent").alias("node")).agg(F.sum("size").alias("b"))
+        state = rest.join(below, "node", "left").select("node", "parent", "up", (F.col("acc") + F.coalesce("b", F.lit(0))).alias("acc"))
+        base += HOPS
     for d in done:
         empty = empty.union(d)
-    return empty, rest.select("node", "parent")
+    return empty, rest
 
 
 def hierarchy(edges: DataFrame, child: str = "concept_id", parent: str = "parent_id", paths: bool = True) -> DataFrame:
     """node, parent, root, depth, height, size of its subtree, and path (root first; only if `paths`).
 
-    Nodes on a cycle or below one have an empty root, depth -1, null height and size if on the cycle, and a null path.
+    Nodes on a cycle or below one have an empty root, depth -1 and a null path; height and size are null on the cycle.
     """
-    spark = edges.sparkSession
-    scratch = Scratch(spark, "hierarchy")
-    peeled, cyclic = peel(scratch.table(nodes(edges, child, parent)), scratch)
-    peeled = scratch.table(peeled)
-    own = F.array("node") if paths else F.lit(None).cast("array<string>")
-    is_root = F.col("parent").isNull()
+    scratch = Scratch(edges.sparkSession, "hierarchy")
+    peeled, cyclic = peel(ancestors(nodes(edges, child, parent), scratch), scratch)
+    whole = F.size("up") < HOPS
+    none = F.lit(None).cast("array<string>")
+    own = F.concat(F.reverse("up"), F.array("node")) if paths else none
     state = peeled.select(
-        "node", "parent", "height", "size", F.when(is_root, F.col("node")).alias("root"), F.when(is_root, 0).alias("depth"), F.when(is_root, own).alias("path"), is_root.alias("known")
-    )
-    found = []
+        "node", "parent", "height", "size", "up", F.when(whole, F.when(F.size("up") > 0, F.element_at("up", -1)).otherwise(F.col("node"))).alias("root"),
+        F.when(whole, F.size("up")).alias("depth"), F.when(whole, own).alias("path"), whole.alias("known"),
+    )
+    found, columns = [], ["node", "parent", "height", "size", "root", "depth", "path"]
     while True:
         known, n, rest, waiting = scratch.split(state, "known")
         if n:
             found.append(known)
         if not n or not waiting:
             break
-        above = known.select(F.col("node").alias("parent"), F.col("root").alias("r"), (F.col("depth") + 1).alias("d"), F.col("path").alias("up"))
-        step = F.concat("up", F.array("node")) if paths else F.lit(None).cast("array<string>")
-        state = rest.join(above, "parent", "left").select(
-            "node", "parent", "height", "size", F.col("r").alias("root"), F.col("d").alias("depth"), step.alias("path"), F.col("r").isNotNull().alias("known")
+        above = known.select(F.col("node").alias("far"), F.col("root").alias("r"), F.col("depth").alias("d"), F.col("path").alias("top"))
+        step = F.concat("top", F.reverse(F.slice("up", 1, HOPS - 1)), F.array("node")) if paths else none
+        state = rest.withColumn("far", F.element_at("up", HOPS)).join(above, "far", "left").select(
+            "node", "parent", "height", "size", "up", F.col("r").alias("root"), (F.col("d") + HOPS).alias("depth"), step.alias("path"), F.col("r").isNotNull().alias("known")
         )
-    lost = [rest] if waiting else []  # below a cycle
+    lost = [rest.select("node", "parent", "height", "size")] if waiting else []  # below a cycle
     lost.append(cyclic.select("node", "parent", F.lit(None).cast("int").alias("height"), F.lit(None).cast("long").alias("size")))
-    out = state.drop("known").limit(0)
+    out = state.select(*columns).limit(0)
     for part in found:
-        out = out.union(part)
+        out = out.union(part.select(*columns))
     for part in lost:
-        out = out.union(
-            part.select("node", "parent", "height", "size", F.lit("").alias("root"), F.lit(-1).alias("depth"), F.lit(None).cast("array<string>").alias("path"))
-        )
+        out = out.union(part.select("*", F.lit("").alias("root"), F.lit(-1).alias("depth"), none.alias("path")))
     return out if paths else out.drop("path")
 
 
