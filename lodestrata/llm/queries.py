@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.llm import bpe, packing, quality
+from lodestrata.llm import bpe, names, packing, quality
+from lodestrata.operators.shredding import distinct_responses
 from lodestrata.session import Scratch, load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -26,6 +27,19 @@ def query(sql: str | None = None):
     return keep
 
 
+# ---- 5: names ----
+
+
+def _names(spark: SparkSession, d: str) -> DataFrame:
+    return names.openalex_names(distinct_responses(load(spark, d, "openalex_search"))).unionByName(names.epmc_names(distinct_responses(load(spark, d, "europe_pmc_search"))))
+
+
+@query()
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of spellings that mean the same person or organisation."""
+    return names.link(_names(spark, d))
+
+
 # ---- 7: encoding ----
 
 
