@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.llm import bpe, names, packing, quality
+from lodestrata.llm import bpe, names, neardup, packing, quality
 from lodestrata.operators.shredding import distinct_responses
 from lodestrata.session import Scratch, load
 
@@ -27,6 +27,19 @@ def query(sql: str | None = None):
     return keep
 
 
+# ---- 4: near duplicates ----
+
+
+def _near(spark: SparkSession, d: str) -> DataFrame:
+    return neardup.near_duplicates(load(spark, d, "library_anchor"), "anchor_id", "exact_text", least=0.6, size=3, least_words=25)
+
+
+@query()
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of anchors whose texts are nearly the same."""
+    return _near(spark, d).select(F.col("id_a").alias("anchor_id_a"), F.col("id_b").alias("anchor_id_b"))
+
+
 # ---- 5: names ----
 
 
