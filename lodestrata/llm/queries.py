@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.llm import bpe, names, neardup, packing, quality
+from lodestrata.llm import bpe, names, neardup, packing, quality, spans
 from lodestrata.operators.shredding import distinct_responses
 from lodestrata.session import Scratch, load
 
@@ -27,6 +27,45 @@ def query(sql: str | None = None):
     return keep
 
 
+# ---- 3: shared spans ----
+
+#: Characters of a stretch that counts as shared.
+SPAN = 160
+
+
+def _spans(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    rows = spans.records(load(spark, d, "library_anchor"), "anchor_id", "source_version_id", "exact_text", SPAN)
+    return rows, spans.matches(rows, SPAN, Scratch(spark, "spans"))
+
+
+@query()
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    """The stretches of each anchor that stand word for word in an anchor of another source."""
+    rows, found = _spans(spark, d)
+    ids = rows.select("rec", F.col("id").alias("anchor_id")).distinct()
+    return spans.exact_spans(found).join(ids, "rec").select("anchor_id", "span_start", "span_end")
+
+
+@query()
+def p3_shared(spark: SparkSession, d: str) -> DataFrame:
+    """How much of each anchor is shared: characters, covered characters and share, of anchors with any."""
+    rows, found = _spans(spark, d)
+    covered = spans.exact_spans(found).groupBy("rec").agg(F.sum(F.col("span_end") - F.col("span_start")).alias("covered"), F.count("*").alias("n_spans"))
+    sizes = rows.groupBy("rec", F.col("id").alias("anchor_id")).agg(F.max(F.length("text")).alias("n_chars"))
+    return covered.join(sizes, "rec").select("anchor_id", "n_chars", "covered", "n_spans", F.round(F.col("covered") / F.col("n_chars"), 6).alias("shared_share"))
+
+
+@query()
+def p3_passages(spark: SparkSession, d: str) -> DataFrame:
+    """Fuzzy passages: chains of exact stretches of two anchors, with score and identity of their alignment."""
+    rows, found = _spans(spark, d)
+    texts = rows.groupBy("rec").agg(F.min("text").alias("text"), F.min("id").alias("id"))
+    chained = Scratch(spark, "chains").table(spans.chains(found))
+    p = spans.passages(chained, texts)
+    ids = texts.select("rec", "id")
+    return p.join(ids.withColumnRenamed("id", "anchor_id"), "rec").join(ids.select(F.col("rec").alias("partner"), F.col("id").alias("partner_id")), "partner").drop("rec", "partner")
+
+
 # ---- 4: near duplicates ----
 
 
