@@ -11,6 +11,7 @@ from urllib.parse import quote, urlsplit
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 
@@ -60,25 +61,25 @@ def window_around(text: Column, terms: list[str], width: int = 240) -> Column:
     return F.trim(F.substring(text, start, F.lit(width)))
 
 
-@pandas_udf("string")
+@pandas_udf(T.StringType())
 def casefold(s: pd.Series) -> pd.Series:
     """Full Unicode case folding (ß as ss), which lower() is not."""
     return s.str.casefold()
 
 
-@pandas_udf("string")
+@pandas_udf(T.StringType())
 def nfc(s: pd.Series) -> pd.Series:
     """Unicode normal form C."""
     return s.map(lambda t: unicodedata.normalize("NFC", t), na_action="ignore")
 
 
-@pandas_udf("string")
+@pandas_udf(T.StringType())
 def plain_html(s: pd.Series) -> pd.Series:
     """A fragment without tags, entities resolved, white space collapsed."""
     return s.map(lambda t: " ".join(html.unescape(re.sub(r"<[^>]*>", " ", t)).split()), na_action="ignore")
 
 
-@pandas_udf("string")
+@pandas_udf(T.StringType())
 def iri(s: pd.Series) -> pd.Series:
     """An identifier percent-encoded for use in an IRI."""
     return s.map(lambda t: quote(t, safe=":/-._~"), na_action="ignore")
@@ -101,7 +102,7 @@ def public_url(url: str | None) -> bool:
         return "." in host
 
 
-@pandas_udf("boolean")
+@pandas_udf(T.BooleanType())
 def is_public_url(s: pd.Series) -> pd.Series:
     """public_url of each value; false for null."""
     return s.map(public_url)

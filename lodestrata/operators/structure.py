@@ -27,7 +27,7 @@ SCHEMA = "ordinal int, kind string, start long, stop long, level int, page int,
 def _lines(text: str, base: int) -> list[tuple[int, int, str]]:
     out, at = [], base
     for raw in text.splitlines(keepends=True):
-        bare = raw.rstrip("\n\r\x0b\x0c\x1c\x1d\x1e\x85  ")
+        bare = raw.rstrip("\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029")
         out.append((at, at + len(bare), bare))
         at += len(raw)
     return out

@@ -10,30 +10,12 @@ from pyspark.sql import functions as F
 from lodestrata.operators import hierarchy as H
 from lodestrata.operators import references as R
 from lodestrata.operators import shredding as S
+from lodestrata.registry import QUERIES, SQL, query
+from lodestrata.registry import sql_id as _id
 from lodestrata.session import load
 
 #: Runs as the smoke check.
-FLAGSHIP = "p6_found"
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    """Registers a function under its name, with its SQL if there is one."""
-
-    def keep(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return keep
-
-
-#: Ids in SQL, as lodestrata.session.norm_id.
-def _id(c: str) -> str:
-    return f"nullif(lower(trim({c}, ' ' || chr(9) || chr(10) || chr(13) || chr(11) || chr(12))), '')"
+FLAGSHIP = "fts_bm25_topk"
 
 
 # ---- 1: nested records ----
@@ -179,3 +161,6 @@ def p6_descendants(spark: SparkSession, d: str) -> DataFrame:
     """Every ancestor-descendant pair with its distance."""
     t = H.descendants(H.hierarchy(load(spark, d, "concept_parent")))
     return t.select(F.col("ancestor").alias("ancestor_id"), F.col("descendant").alias("descendant_id"), F.col("distance").cast("int").alias("distance"))
+
+
+from lodestrata import engine_queries  # noqa: E402, F401  (registers the queries of the engine's own operators)
