@@ -37,7 +37,7 @@ def _bm25_sql(corpus: str, plan: search.Plan, weights: tuple[float, float], type
     score = []
     for k in range(len(plan.phrases)):
         n = f"(select count(*) from m where t{k} + b{k} > 0)"
-        idf = f"(select case when ln((N - n + 0.5) / (n + 0.5)) > 0 then ln((N - n + 0.5) / (n + 0.5)) else 1e-6 end from (select {n} n, (select count(*) from m) N))"
+        idf = f"(select case when ln((total - n + 0.5) / (n + 0.5)) > 0 then ln((total - n + 0.5) / (n + 0.5)) else 1e-6 end from (select {n} n, (select count(*) from m) total))"
         f = f"({weights[0]} * t{k} + {weights[1]} * b{k})"
         score.append(f"case when t{k} + b{k} > 0 then {idf} * {f} * {search.K1 + 1} / ({f} + {search.K1} * ({1 - search.B} + {search.B} * len / (select avg(len) from m))) else 0 end")
     some = " or ".join(f"t{k} + b{k} > 0" for k in range(len(plan.phrases)))
@@ -344,7 +344,8 @@ case o_orderstatus when 'F' then 'asserts' when 'O' then 'denies' else 'question
 
 
 @query(
-    """select 'claim-evidence-exists' as rule, 'error' severity, 'claim:' || l_orderkey record_id, count(*) || ' ' || min('evidence:' || l_orderkey || ':' || l_linenumber) detail from lineitem where l_returnflag = 'R' group by l_orderkey"""
+    """with e as (select 'claim:' || l_orderkey c, 'evidence:' || l_orderkey || ':' || l_linenumber i, l_returnflag f from lineitem)
+select 'claim-evidence-exists' as rule, 'error' severity, c record_id, count(distinct i) || ' ' || min(i) detail from e where i not in (select i from e where f <> 'R') group by c"""
 )
 def audit_missing_evidence(spark: SparkSession, d: str) -> DataFrame:
     """Claims with evidence that is not there."""

@@ -24,7 +24,7 @@ def _level(length: Column) -> Column:
 def covering(refs: DataFrame, anchors: DataFrame, document: str, order: list[Column], levels: tuple[int, ...] = LEVELS) -> DataFrame:
     """Each row of refs (document, ref_id, start, stop) with the anchor (anchor_id, a_start, a_stop and more) first in `order` of those that hold it all, as struct `anchor`; null if none."""
     a = anchors.filter("a_stop >= a_start").withColumn("_l", _level(F.col("a_stop") - F.col("a_start")))
-    width = F.shiftleft(F.lit(1).cast("long"), F.col("_l"))
+    width = F.pow(F.lit(2.0), F.col("_l")).cast("long")
     a = a.withColumn("_c", F.explode(F.array_distinct(F.array(F.floor(F.col("a_start") / width), F.floor(F.col("a_stop") / width)))))
     cells = F.array(*(F.struct(F.lit(l).alias("l"), F.floor(F.col("start") / (1 << l)).alias("c")) for l in levels))
     r = refs.withColumn("_x", F.explode(cells)).withColumn("_l", F.col("_x.l")).withColumn("_c", F.col("_x.c")).drop("_x")

@@ -7,6 +7,7 @@ against the statistics of the whole corpus, and cut by a top-k that never sorts
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -103,8 +104,10 @@ def index(corpus: DataFrame) -> tuple[DataFrame, DataFrame]:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["token", "record_type", "record_id", "field", "positions"])
 
     postings = corpus.select("record_type", F.col("record_id").cast("string").alias("record_id"), "title", "body").mapInArrow(post, POSTINGS)
-    lengths = postings.groupBy("record_type", "record_id").agg(F.sum(F.size("positions")).alias("n_tokens"))
-    return postings, lengths
+    tokens_in = lambda c: F.coalesce(c, F.lit(0))
+    found = postings.groupBy("record_type", "record_id").agg(F.sum(F.size("positions")).alias("n_tokens"))
+    every = corpus.select("record_type", F.col("record_id").cast("string").alias("record_id"))
+    return postings, every.join(found, ["record_type", "record_id"], "left").select("record_type", "record_id", tokens_in(F.col("n_tokens")).cast("int").alias("n_tokens"))
 
 
 def matches(postings: DataFrame, plan: Plan) -> DataFrame:
@@ -125,28 +128,66 @@ def matches(postings: DataFrame, plan: Plan) -> DataFrame:
     return single.groupBy("phrase", "record_type", "record_id").agg(F.sum(F.when(F.col("field") == 0, F.col("tf")).otherwise(0)).alias("title_tf"), F.sum(F.when(F.col("field") == 1, F.col("tf")).otherwise(0)).alias("body_tf"))
 
 
+def _count(words: list[str], phrase: tuple[str, ...]) -> int:
+    """Places where a phrase stands, its last token a prefix."""
+    *whole, last = phrase
+    if not whole:
+        return sum(w.startswith(last) for w in words)
+    n = len(whole)
+    return sum(words[i : i + n] == whole and words[i + n].startswith(last) for i in range(len(words) - n) if words[i] == whole[0])
+
+
+def scanned(corpus: DataFrame, plan: Plan) -> DataFrame:
+    """record_type, record_id, n_tokens, tf of every record: per phrase the places in title and in body. One pass, no shuffle."""
+    phrases = plan.phrases
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sizes, found = [], []
+            for title, body in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
+                t, x = fast_tokens(title or ""), fast_tokens(body or "")
+                sizes.append(len(t) + len(x))
+                found.append([_count(w, p) for p in phrases for w in (t, x)])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sizes, pa.int32()), pa.array(found, pa.list_(pa.int32()))], names=["record_type", "record_id", "n_tokens", "tf"])
+
+    slim = corpus.select("record_type", F.col("record_id").cast("string").alias("record_id"), "title", "body")
+    return slim.mapInArrow(run, "record_type string, record_id string, n_tokens int, tf array<int>")
+
+
+def counted(postings: DataFrame, lengths: DataFrame, plan: Plan) -> DataFrame:
+    """As scanned, from an index: records without a match have no entry of their own in tf."""
+    found = matches(postings, plan)
+    per = found.groupBy("record_type", "record_id").agg(F.map_from_entries(F.collect_list(F.struct("phrase", F.struct("title_tf", "body_tf").alias("v")))).alias("m"))
+    zero = F.lit(0)
+    tf = F.array(*(F.coalesce(F.try_element_at("m", F.lit(k))[side], zero).cast("int") for k in range(len(plan.phrases)) for side in ("title_tf", "body_tf")))
+    return lengths.join(per, ["record_type", "record_id"], "left").select("record_type", "record_id", "n_tokens", tf.alias("tf"))
+
+
 def ranked(corpus: DataFrame, plan: Plan, weights: tuple[float, float] = KNOWLEDGE, indexed: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """record_type, record_id, score (lower is better), rank, truncated of the best plan.limit records.
 
-    A filter by record type is applied after scoring and leaves the corpus statistics as they are. Records without any
-    token count in the number of records. An empty corpus gives no rows.
+    Counts are from one pass over the texts, or from `indexed` (index()), which reads no texts. A filter by record type is
+    applied after scoring and leaves the corpus statistics as they are. An empty corpus gives no rows.
     """
-    postings, lengths = indexed or index(corpus)
-    stats = corpus.select(F.lit(1).alias("one")).agg(F.count("*").alias("n_docs")).first()
-    n_docs = float(stats["n_docs"])
-    total = lengths.agg(F.sum("n_tokens").alias("t")).first()["t"]
-    average = float(total or 0) / n_docs if n_docs and total else 1.0
-    found = matches(postings, plan)
-    # one row for each phrase of the question, so small whatever the corpus
-    df = found.groupBy("phrase").agg(F.count("*").alias("n"))
-    idf = F.log((F.lit(n_docs) - F.col("n") + 0.5) / (F.col("n") + 0.5))
-    idf = F.broadcast(df.select("phrase", F.when(idf > 0, idf).otherwise(F.lit(1e-6)).alias("idf")))
-    f = weights[0] * F.col("title_tf") + weights[1] * F.col("body_tf")
-    part = F.col("idf") * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("n_tokens") / F.lit(average)))
-    scored = found.join(idf, "phrase").join(lengths, ["record_type", "record_id"]).groupBy("record_type", "record_id").agg((-F.sum(part)).alias("score"))
+    from lodestrata.session import Scratch
+
+    n = len(plan.phrases)
+    spark = corpus.sparkSession
+    counts = Scratch(spark, "search").table(counted(*indexed, plan) if indexed else scanned(corpus, plan))
+    at = lambda k, side: F.element_at("tf", 2 * k + side + 1)
+    # a single row: the corpus statistics
+    total = counts.agg(F.count("*").alias("n"), F.sum("n_tokens").alias("t"), *(F.count_if((at(k, 0) + at(k, 1)) > 0).alias(f"df{k}") for k in range(n))).first()
+    n_docs = total["n"]
+    average = (total["t"] or 0) / n_docs if n_docs and total["t"] else 1.0
+    score = F.lit(0.0)
+    for k in range(n):
+        idf = math.log((n_docs - total[f"df{k}"] + 0.5) / (total[f"df{k}"] + 0.5)) if n_docs else 0.0
+        f = weights[0] * at(k, 0) + weights[1] * at(k, 1)
+        score = score + (idf if idf > 0 else 1e-6) * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("n_tokens") / F.lit(average)))
+    hit = counts.filter(F.exists("tf", lambda x: x > 0))
     if plan.record_types:
-        scored = scored.filter(F.col("record_type").isin(*plan.record_types))
-    top = scored.withColumn("score", F.round("score", 9)).orderBy("score", "record_type", "record_id").limit(plan.limit + 1)
+        hit = hit.filter(F.col("record_type").isin(*plan.record_types))
+    top = hit.select("record_type", "record_id", F.round(-score, 9).alias("score")).orderBy("score", "record_type", "record_id").limit(plan.limit + 1)
     everything = Window.orderBy("score", "record_type", "record_id")  # over limit + 1 rows
     return top.withColumn("rank", F.row_number().over(everything)).withColumn("truncated", F.count("*").over(Window.partitionBy(F.lit(1))) > plan.limit).filter(F.col("rank") <= plan.limit)
 

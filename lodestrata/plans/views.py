@@ -87,14 +87,18 @@ def listing(anchors: DataFrame, limit: int, order: list[Column]) -> DataFrame:
     return top.join(F.broadcast(total), "_one").drop("_one").withColumn("truncated", F.col("total") > limit)  # one row of total
 
 
-def triples(df: DataFrame, subject: str, kind: str, fields: dict[str, str]) -> DataFrame:
-    """s, p, o of each row: its type and one triple for each non-null field, or element of an array field; distinct."""
+def _object(predicate: str):
     from lodestrata.functions.text import turtle_literal
 
+    return lambda v: F.struct(F.lit(predicate).alias("p"), turtle_literal(v.cast("string")).alias("o"))
+
+
+def triples(df: DataFrame, subject: str, kind: str, fields: dict[str, str]) -> DataFrame:
+    """s, p, o of each row: its type and one triple for each non-null field, or element of an array field; distinct."""
     types = dict(df.dtypes)
     parts = [F.array(F.struct(F.lit("rdf:type").alias("p"), F.lit(f"lode:{kind}").alias("o")))]
     for field, predicate in fields.items():
         values = F.col(field) if types[field].startswith("array") else F.array(F.col(field))
         values = F.filter(F.coalesce(values, F.array().cast("array<string>")), lambda v: v.isNotNull())
-        parts.append(F.transform(values, lambda v, p=predicate: F.struct(F.lit(p).alias("p"), turtle_literal(v.cast("string")).alias("o"))))
+        parts.append(F.transform(values, _object(predicate)))
     return df.select(F.concat(F.lit("<"), F.col(subject), F.lit(">")).alias("s"), F.explode(F.flatten(F.array(*parts))).alias("t")).select("s", "t.p", "t.o").distinct()
