@@ -104,7 +104,9 @@ def keyed(texts: DataFrame, least_words: int, size: int, bands: int, rows: int)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            cls, ts = b.column(0).to_numpy(), b.column(1).to_pylist()
+            # copies within a batch are keyed once: combined before the shuffle
+            cls, at = np.unique(b.column(0).to_numpy(), return_index=True)
+            ts = b.column(1).take(pa.array(at)).to_pylist()
             for i, j in pieces(ts, 500_000):
                 g, begins, n = shingles(ts[i:j], size)
                 enough = np.flatnonzero(n >= least_words)
