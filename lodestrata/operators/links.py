@@ -42,7 +42,7 @@ def strictest(observations: DataFrame, rules: DataFrame, key: str, on: list[str]
         part = F.col(f"r.{c}").isNull() | (F.col(f"o.{c}") == F.col(f"r.{c}"))
         match = part if match is None else match & part
     rank = F.array_position(F.array(*(F.lit(s) for s in strictness)), F.col("r.action")).cast("int")
-    hits = seen.alias("o").join(F.broadcast(combos.alias("r")), match).select(F.col(f"o.{key}").alias(key), rank.alias("k"), "r.rule_id", "r.action")
-    top = hits.groupBy(key).agg(F.max("k").alias("top"))
-    chosen = hits.join(top, key).filter("k = top").groupBy(key).agg(F.min("action").alias("action"), F.array_sort(F.collect_set("rule_id")).alias("rule_ids"))
+    hits = seen.alias("o").join(F.broadcast(combos.alias("r")), match).select(F.col(f"o.{key}").alias(key), rank.alias("_rank"), "r.rule_id", "r.action")
+    top = hits.groupBy(key).agg(F.max("_rank").alias("_top"))
+    chosen = hits.join(top, key).filter("_rank = _top").groupBy(key).agg(F.min("action").alias("action"), F.array_sort(F.collect_set("rule_id")).alias("rule_ids"))
     return observations.select(key).distinct().join(chosen, key, "left").select(key, F.coalesce("action", F.lit(default)).alias("action"), F.coalesce("rule_ids", F.array().cast("array<string>")).alias("rule_ids"))

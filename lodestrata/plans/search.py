@@ -44,9 +44,13 @@ class Plan:
         return [p for t in self.terms if (p := tuple(tokens(t)))]
 
 
+#: Letters whose simple case folding is not their lower case.
+_FOLD = {0xB5: 0x3BC, 0x17F: 0x73, 0x3C2: 0x3C3}
+
+
 def tokens(text: str) -> list[str]:
     """Runs of letters, digits and marks, in lower case, without diacritics."""
-    low = unicodedata.normalize("NFD", text.lower())
+    low = unicodedata.normalize("NFD", text.lower().translate(_FOLD))
     out, word = [], []
     for c in low:
         kind = unicodedata.category(c)
@@ -79,7 +83,7 @@ def fast_tokens(text: str) -> list[str]:
     low = text.lower()
     if low.isascii():
         return _WORD.findall(low)
-    bare = _MARKS.sub("", unicodedata.normalize("NFD", low))
+    bare = _MARKS.sub("", unicodedata.normalize("NFD", low.translate(_FOLD)))
     return tokens(text) if any(unicodedata.category(c) in ("Mn", "Mc", "Me", "Co") for c in set(bare)) else _WORD.findall(bare)
 
 
