@@ -250,8 +250,13 @@ def epmc_names(responses: DataFrame) -> DataFrame:
 
 
 def spellings(names: DataFrame) -> DataFrame:
-    """The distinct non-blank names."""
-    return names.filter("name is not null and name <> ''").distinct()
+    """The distinct non-blank names, spread over all cores: they are few bytes but costly to read."""
+    return names.filter("name is not null and name <> ''").distinct().repartition(_tasks(names))
+
+
+def _tasks(df: DataFrame) -> int:
+    spark = df.sparkSession
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
 
 
 _READ = "name string, kind string, tokens array<string>, core int"
@@ -317,7 +322,8 @@ def _verified(pairs: DataFrame, agree) -> DataFrame:
             ]
             yield b.loc[keep, ["name_a", "name_b"]]
 
-    return pairs.select("kind", "name_a", "core_a", "rest_a", "name_b", "core_b", "rest_b").mapInPandas(run, "name_a string, name_b string").distinct()
+    slim = pairs.select("kind", "name_a", "core_a", "rest_a", "name_b", "core_b", "rest_b").repartition(_tasks(pairs))
+    return slim.mapInPandas(run, "name_a string, name_b string").distinct()
 
 
 def link(names: DataFrame) -> DataFrame:
