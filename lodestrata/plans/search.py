@@ -73,18 +73,38 @@ def compile_question(question: str, record_types: tuple[str, ...] = (), limit: i
     return Plan(terms, tuple(sorted(set(record_types))), limit)
 
 
-# one pass of a translation table and a regular expression instead of a loop over characters
-_MARKS = re.compile("[\u0300-\u036f\u0483-\u0489\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20ff\ufe20-\ufe2f]")
 _WORD = re.compile(r"[^\W_]+")
 
 
+def _class(kinds: tuple[str, ...]) -> str:
+    """The code points below 0x10000 of general categories, as ranges of a character class: one without astral ranges is a quick table."""
+    out, start = [], None
+    for c in range(0x10001):
+        ok = c < 0x10000 and unicodedata.category(chr(c)) in kinds
+        if ok and start is None:
+            start = c
+        elif not ok and start is not None:
+            out.append(f"\\U{start:08x}-\\U{c - 1:08x}")
+            start = None
+    return "".join(out)
+
+
+_MARKS: list[re.Pattern] = []
+
+
 def fast_tokens(text: str) -> list[str]:
-    """As tokens; texts in ASCII, and others whose marks are of the common blocks, take the short way."""
+    """As tokens, by regular expressions instead of a loop over characters."""
     low = text.lower()
     if low.isascii():
         return _WORD.findall(low)
-    bare = _MARKS.sub("", unicodedata.normalize("NFD", low.translate(_FOLD)))
-    return tokens(text) if any(unicodedata.category(c) in ("Mn", "Mc", "Me", "Co") for c in set(bare)) else _WORD.findall(bare)
+    if not _MARKS:  # once per worker
+        _MARKS.extend((re.compile(f"[{_class(('Mn', 'Mc', 'Me'))}]+"), re.compile(f"[{_class(('Co',))}]"), re.compile("[\u00b5\u017f\u03c2]")))
+    if _MARKS[2].search(low):
+        low = low.translate(_FOLD)
+    low = unicodedata.normalize("NFD", low)
+    if max(low) > "\uffff" or _MARKS[1].search(low):
+        return tokens(text)
+    return _WORD.findall(_MARKS[0].sub("", low))
 
 
 POSTINGS = "token string, record_type string, record_id string, field int, positions array<int>"
@@ -158,6 +178,36 @@ def scanned(corpus: DataFrame, plan: Plan) -> DataFrame:
     return slim.mapInArrow(run, "record_type string, record_id string, n_tokens int, tf array<int>")
 
 
+def analysed(corpus: DataFrame) -> DataFrame:
+    """record_type, record_id, title, body, n_tokens with texts as their tokens, each after a blank: a table to write once and query often, without Python, join or shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            title, body = ([fast_tokens(t or "") for t in b.column(i).to_pylist()] for i in (2, 3))
+            flat = lambda rows: pa.array(["".join(f" {t}" for t in r) for r in rows], pa.string())
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), b.column(1), flat(title), flat(body), pa.array([len(x) + len(y) for x, y in zip(title, body)], pa.int32())], names=["record_type", "record_id", "title", "body", "n_tokens"]
+            )
+
+    slim = corpus.select("record_type", F.col("record_id").cast("string").alias("record_id"), "title", "body")
+    return slim.mapInArrow(run, "record_type string, record_id string, title string, body string, n_tokens int")
+
+
+def _places(tokens_: str, phrase: tuple[str, ...]):
+    """Places where a phrase stands in a text of tokens, its last token a prefix: as a blank begins every token, those of the phrase's text."""
+    text = "".join(f" {t}" for t in phrase)
+    if phrase[0] in phrase[1:] or any(phrase[0].startswith(phrase[-1]) for _ in phrase[1:]):  # may overlap itself
+        return F.regexp_count(tokens_, F.lit(f"(?={re.escape(text)})"))
+    gone = F.replace(F.col(tokens_), F.lit(text), F.lit(""))
+    return ((F.octet_length(tokens_) - F.octet_length(gone)) / len(text.encode())).cast("int")
+
+
+def counted_analysed(table: DataFrame, plan: Plan) -> DataFrame:
+    """As scanned, from an analysed corpus; one pass of native expressions."""
+    tf = F.array(*(_places(c, p) for p in plan.phrases for c in ("title", "body")))
+    return table.select("record_type", "record_id", "n_tokens", tf.alias("tf"))
+
+
 def counted(postings: DataFrame, lengths: DataFrame, plan: Plan) -> DataFrame:
     """As scanned, from an index: records without a match have no entry of their own in tf."""
     found = matches(postings, plan)
@@ -167,17 +217,17 @@ def counted(postings: DataFrame, lengths: DataFrame, plan: Plan) -> DataFrame:
     return lengths.join(per, ["record_type", "record_id"], "left").select("record_type", "record_id", "n_tokens", tf.alias("tf"))
 
 
-def ranked(corpus: DataFrame, plan: Plan, weights: tuple[float, float] = KNOWLEDGE, indexed: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+def ranked(corpus: DataFrame, plan: Plan, weights: tuple[float, float] = KNOWLEDGE, indexed: tuple[DataFrame, DataFrame] | None = None, ready: bool = False) -> DataFrame:
     """record_type, record_id, score (lower is better), rank, truncated of the best plan.limit records.
 
-    Counts are from one pass over the texts, or from `indexed` (index()), which reads no texts. A filter by record type is
-    applied after scoring and leaves the corpus statistics as they are. An empty corpus gives no rows.
+    Counts are from one pass over the texts, or from `indexed` (index()), which reads no texts, or, if `ready`, from `corpus`
+    being an analysed one. A filter by record type is applied after scoring and leaves the corpus statistics as they are. An empty corpus gives no rows.
     """
     from lodestrata.session import Scratch
 
     n = len(plan.phrases)
     spark = corpus.sparkSession
-    counts = Scratch(spark, "search").table(counted(*indexed, plan) if indexed else scanned(corpus, plan))
+    counts = counted_analysed(corpus, plan) if ready else Scratch(spark, "search").table(counted(*indexed, plan) if indexed else scanned(corpus, plan))
     at = lambda k, side: F.element_at("tf", 2 * k + side + 1)
     # a single row: the corpus statistics
     total = counts.agg(F.count("*").alias("n"), F.sum("n_tokens").alias("t"), *(F.count_if((at(k, 0) + at(k, 1)) > 0).alias(f"df{k}") for k in range(n))).first()

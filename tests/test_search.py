@@ -42,6 +42,7 @@ def test_an_index_gives_the_same_as_a_scan(corpus):
     plan = S.compile_question("water-board alpha", limit=50)
     a = [tuple(r) for r in S.ranked(df, plan).collect()]
     assert a == [tuple(r) for r in S.ranked(df, plan, indexed=S.index(df)).collect()] and a
+    assert a == [tuple(r) for r in S.ranked(S.analysed(df), plan, ready=True).collect()]
 
 
 def test_type_filter_leaves_scores_alone_and_limit_is_probed(corpus):
