@@ -21,6 +21,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestrata.session import BLANKS
+
 #: Least Jaccard similarity of the q-gram sets of two cores.
 THRESHOLD = 0.4
 Q = 2
@@ -238,15 +240,15 @@ def spread(rest: list[tuple[str, str]]) -> list[list[tuple[str, str]]]:
 
 def openalex_names(responses: DataFrame) -> DataFrame:
     """name: author display names of search results."""
-    return responses.select(F.explode("search.results").alias("w")).select(F.explode("w.authorships").alias("a")).select(F.trim("a.author.display_name").alias("name"))
+    return responses.select(F.explode("search.results").alias("w")).select(F.explode("w.authorships").alias("a")).select(F.trim("a.author.display_name", F.lit(BLANKS)).alias("name"))
 
 
 def epmc_names(responses: DataFrame) -> DataFrame:
     """name: the elements of authorString of the results; texts that are not complete JSON give none."""
     from lodestrata.operators.shredding import epmc_works
 
-    text = F.regexp_replace(F.trim("authorString"), r"\.\s*$", "")
-    return epmc_works(responses.select("response_id", "search")).select(F.explode(F.split(text, "[,;]")).alias("n")).select(F.trim("n").alias("name"))
+    text = F.regexp_replace("authorString", r"\.\s*$", "")
+    return epmc_works(responses.select("response_id", "search")).select(F.explode(F.split(text, "[,;]")).alias("n")).select(F.trim("n", F.lit(BLANKS)).alias("name"))
 
 
 def spellings(names: DataFrame) -> DataFrame:
