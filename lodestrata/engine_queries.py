@@ -128,6 +128,18 @@ def fts_snippets(spark: SparkSession, d: str) -> DataFrame:
     return search.snippets(search.ranked(base, _ASKED), base, _ASKED)
 
 
+@query(
+    f"""with q as ({_bm25_sql(_ANCHOR_DOCS, _LIBRARY, search.LIBRARY)}), a as ({_PICKED_ANCHORS}), t as (select sv, to_json(list(distinct tid order by tid))::varchar ids from ({_PICKED_THREATS}) where sv is not null group by 1)
+select q."rank", q.record_id, a.sv source_version_id, s.source_uri, coalesce(t.ids, '[]') threat_ids from q join a on a.aid = q.record_id left join ({_PICKED_SOURCES}) s on s.sid = a.sv left join t on t.sv = a.sv"""
+)
+def library_hits_enriched(spark: SparkSession, d: str) -> DataFrame:
+    """Ranked anchors with source and threats."""
+    base = _library(spark, d)
+    top = search.ranked(base, _LIBRARY, search.LIBRARY)
+    e = search.enriched(top, C.anchors(spark, d), C.sources(spark, d), C.threats(spark, d))
+    return e.select(F.col("rank").cast("int").alias("rank"), "record_id", "source_version_id", "source_uri", F.to_json("threat_ids").alias("threat_ids"))
+
+
 # ---- topics ----
 
 _ROOT = "region:2"
@@ -600,6 +612,19 @@ def grounded_quotes(spark: SparkSession, d: str) -> DataFrame:
     return good.select("id", F.lit(True).alias("grounded")).unionByName(bad.select("id", F.lit(False).alias("grounded")))
 
 
+@query(
+    f"""with a as ({_PICKED_ANCHORS}), w as (select sv, aid, anchor_start, anchor_kind, list_distinct(regexp_extract_all(lower(exact_text), '[\\p{{L}}\\p{{N}}_]+')) ws from a where exact_text is not null and sv is not null),
+s as (select *, 4 * len(list_intersect(ws, ['methane', 'canopy'])) + 2 * len(list_intersect(ws, ['survey', 'claim', 'evidence'])) + (anchor_kind = 'heading')::int score from w)
+select sv source_id, aid anchor_id, score::int score from s qualify row_number() over (partition by sv order by score desc, anchor_start nulls first, aid) <= 3"""
+)
+def anchor_selection(spark: SparkSession, d: str) -> DataFrame:
+    """The three anchors of each source with most words of a topic."""
+    from lodestrata.plans import planning
+
+    a = C.anchors(spark, d).filter("exact_text is not null and source_version_id is not null").select(F.col("source_version_id").alias("source_id"), "anchor_id", F.col("anchor_start").alias("ordinal"), F.col("anchor_kind").alias("kind"), F.col("exact_text").alias("text"))
+    return planning.selected(a, ["methane", "canopy"], ["survey", "claim", "evidence"], 3).select("source_id", "anchor_id", F.col("score").cast("int").alias("score"))
+
+
 # ---- usage, coverage, proposals, library, export ----
 
 

@@ -71,3 +71,47 @@ def reverified(ranges: DataFrame, sources: DataFrame) -> DataFrame:
     """Ranges (id, sha256, start, stop, exact_sha256) whose text in the source no longer has the recorded digest."""
     both = ranges.join(sources.select("sha256", "text"), "sha256")
     return both.filter(F.sha2(F.expr("substring(text, cast(start + 1 as int), cast(stop - start as int))"), 256) != F.col("exact_sha256")).select("id", "sha256")
+
+
+def with_vocabulary(concepts: DataFrame, vocabulary: dict[str, list[str]], epoch: str = "1970-01-01 00:00:00") -> DataFrame:
+    """concepts (id, label, synonyms, recorded_at) and those only the vocabulary names, labelled by their ids and recorded at the epoch."""
+    from lodestrata.functions.text import label_of_id
+
+    spark = concepts.sparkSession
+    rows = spark.createDataFrame([(k, sorted(set(v))) for k, v in vocabulary.items()], "id string, synonyms array<string>")
+    new = rows.join(concepts.select("id"), "id", "left_anti").select("id", label_of_id(F.col("id")).alias("label"), "synonyms", F.lit(epoch).cast("timestamp").alias("recorded_at"))
+    return concepts.select("id", "label", "synonyms", "recorded_at").unionByName(new)
+
+
+def remapped(df: DataFrame, columns: list[str], prefix: str, proposed: list[str]) -> DataFrame:
+    """df with the proposed ids of its columns (text or arrays) under a prefix; other ids stay."""
+    ids = F.array(*(F.lit(p) for p in proposed)).cast("array<string>")
+    to = lambda v: F.when(F.array_contains(ids, v), F.concat(F.lit(prefix), F.regexp_replace(v, "^concept:", ""))).otherwise(v)
+    types = dict(df.dtypes)
+    return df.withColumns({c: F.transform(c, to) if types[c].startswith("array") else to(F.col(c)) for c in columns})
+
+
+def accepted(items: DataFrame, anchors: DataFrame, subjects: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(accepted, findings) of proposed claims (item_id, subject, anchor_id, exact): the subject must be allowed and the quote stand once in its anchor (anchor_id, text, anchor_start).
+
+    Accepted ones get absolute start and stop and the digest of the quote; findings name every rule that fails.
+    """
+    both = items.join(anchors.select("anchor_id", "text", "anchor_start"), "anchor_id", "left").join(subjects.select("subject").distinct().withColumn("_known", F.lit(True)), "subject", "left")
+    times = F.when(F.length("exact") > 0, (F.length("text") - F.length(F.replace("text", "exact", F.lit("")))) / F.length("exact"))
+    failed = F.array_compact(F.array(F.when(F.col("text").isNull(), "unknown anchor"), F.when(F.col("_known").isNull(), "unknown subject"), F.when(F.col("text").isNotNull() & (F.coalesce(times, F.lit(0)) != 1), "quote not exactly once")))
+    marked = both.withColumn("failed", failed)
+    start = F.col("anchor_start") + F.instr("text", F.col("exact")) - 1
+    good = marked.filter(F.size("failed") == 0).select("item_id", "subject", "anchor_id", "exact", start.alias("start"), (start + F.length("exact")).alias("stop"), F.sha2("exact", 256).alias("exact_sha256"))
+    return good, marked.filter(F.size("failed") > 0).select("item_id", F.explode("failed").alias("finding"))
+
+
+def merged_state(states: DataFrame, key: str, sets: list[str], times: list[str]) -> DataFrame:
+    """States of a key merged: arrays as sorted sets, times as their latest."""
+    union = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c)
+    return states.groupBy(key).agg(*(union(c) for c in sets), *(F.max(c).alias(c) for c in times))
+
+
+def inconsistent(derivations: DataFrame, rows: DataFrame, key: str, listed: str, item: str) -> DataFrame:
+    """Derivations (key, listed: array in order) whose list is not that of their rows (key, ordinal, item) in order."""
+    own = rows.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", item))), lambda x: x[item]).alias("_own"))
+    return derivations.join(own, key, "left").filter(~F.coalesce("_own", F.array().cast("array<string>")).eqNullSafe(F.col(listed))).select(key)
