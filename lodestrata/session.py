@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,7 +18,7 @@ BLANKS = " \t\n\r\x0b\x0c "
 
 def local_session(cores: int = 8, partitions: int = 8) -> SparkSession:
     """A session for tests and the bench; on a cluster the caller brings its own."""
-    return (
+    spark = (
         SparkSession.builder.master(f"local[{cores}]")
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.sql.session.timeZone", "UTC")
@@ -24,6 +27,23 @@ def local_session(cores: int = 8, partitions: int = 8) -> SparkSession:
         .config("spark.driver.memory", "12g")
         .getOrCreate()
     )
+    ship(spark)
+    return spark
+
+
+def ship(spark: SparkSession) -> None:
+    """Gives the package to the executors' Python workers, once per context; they need not have it on their path."""
+    sc = spark.sparkContext
+    if getattr(sc, "_lodestrata_shipped", False):
+        return
+    package = Path(__file__).resolve().parent
+    folder = Path(tempfile.mkdtemp(prefix="lodestrata-"))  # the driver's own; executors fetch the file from the driver
+    atexit.register(shutil.rmtree, folder, True)
+    with zipfile.ZipFile(folder / "lodestrata.zip", "w") as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, f.relative_to(package.parent))
+    sc.addPyFile(str(folder / "lodestrata.zip"))
+    sc._lodestrata_shipped = True
 
 
 def load(spark: SparkSession, directory: str, table: str) -> DataFrame:
