@@ -257,8 +257,7 @@ def spellings(names: DataFrame) -> DataFrame:
 
 
 def _tasks(df: DataFrame) -> int:
-    spark = df.sparkSession
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return 2 * df.sparkSession.sparkContext.defaultParallelism
 
 
 _READ = "name string, kind string, tokens array<string>, core int"
