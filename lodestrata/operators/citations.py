@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from lodestrata.functions import identifiers
 from lodestrata.functions.text import public_url
+from lodestrata.session import spread
 
 #: Kind and pattern; the group `v` is the value. Identifiers come first and protect what they cover from being read as addresses.
 PATTERNS = (
@@ -85,7 +86,7 @@ def extract(df: DataFrame, key: str, text: str) -> DataFrame:
             yield pd.DataFrame([(k, *m) for k, t in zip(b.iloc[:, 0], b.iloc[:, 1]) for m in mentions(t)], columns=names)
 
     # texts without anything like a mention never leave the JVM
-    slim = df.filter(F.col(text).rlike(r"(?i)10\.[0-9]{4}|pmid|pmc[0-9:i]|arxiv|https?://")).select(key, text)
+    slim = spread(df.select(key, text)).filter(F.col(text).rlike(r"(?i)10\.[0-9]{4}|pmid|pmc[0-9:i]|arxiv|https?://"))
     raw = slim.mapInPandas(run, f"{key} {slim.dtypes[0][1]}, {SCHEMA}")
     value = F.when(F.col("kind") == "url", F.col("raw")).otherwise(identifiers.normalised(F.col("kind"), F.col("raw")))
     return raw.withColumn("value", value).filter("value is not null")

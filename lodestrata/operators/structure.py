@@ -14,6 +14,8 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from lodestrata.session import spread
+
 #: Kinds in order of precedence at one offset.
 KINDS = ("document", "page", "section", "heading", "caption", "footnote", "list_item", "paragraph")
 ATX = re.compile(r"^ {0,3}(#{1,6})[ \t]+(.+?)[ \t]*#*[ \t]*$")
@@ -103,5 +105,5 @@ def extract(df: DataFrame, key: str, text: str) -> DataFrame:
             rows = [(k, *a) for k, t in zip(b.iloc[:, 0], b.iloc[:, 1]) for a in anchors(t)]
             yield pd.DataFrame(rows, columns=names).astype({"level": "Int32", "page": "Int32", "parent": "Int32"})
 
-    slim = df.select(key, text)
+    slim = spread(df.select(key, text))
     return slim.mapInPandas(run, f"{key} {slim.dtypes[0][1]}, {SCHEMA}")

@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from lodestrata.session import spread
+
 #: Words that a question may hold without asking for them.
 STOPWORDS = frozenset("a an and are as at be by for from how in is of on or that the to what".split())
 K1, B = 1.2, 0.75
@@ -162,7 +164,7 @@ def _count(words: list[str], phrase: tuple[str, ...]) -> int:
 
 
 def scanned(corpus: DataFrame, plan: Plan) -> DataFrame:
-    """record_type, record_id, n_tokens, tf of every record: per phrase the places in title and in body. One pass, no shuffle."""
+    """record_type, record_id, n_tokens and per phrase k the places in title and body, t<k> and b<k>, of every record. One pass, no shuffle but to spread a small input."""
     phrases = plan.phrases
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,8 +176,13 @@ def scanned(corpus: DataFrame, plan: Plan) -> DataFrame:
                 found.append([_count(w, p) for p in phrases for w in (t, x)])
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sizes, pa.int32()), pa.array(found, pa.list_(pa.int32()))], names=["record_type", "record_id", "n_tokens", "tf"])
 
-    slim = corpus.select("record_type", F.col("record_id").cast("string").alias("record_id"), "title", "body")
-    return slim.mapInArrow(run, "record_type string, record_id string, n_tokens int, tf array<int>")
+    slim = spread(corpus.select("record_type", F.col("record_id").cast("string").alias("record_id"), "title", "body"))
+    found = slim.mapInArrow(run, "record_type string, record_id string, n_tokens int, tf array<int>")
+    return found.select("record_type", "record_id", "n_tokens", *(F.get("tf", k).alias(name) for k, name in enumerate(_columns(plan))))
+
+
+def _columns(plan: Plan) -> list[str]:
+    return [f"{side}{k}" for k in range(len(plan.phrases)) for side in "tb"]
 
 
 def analysed(corpus: DataFrame) -> DataFrame:
@@ -189,7 +196,7 @@ def analysed(corpus: DataFrame) -> DataFrame:
                 [b.column(0), b.column(1), flat(title), flat(body), pa.array([len(x) + len(y) for x, y in zip(title, body)], pa.int32())], names=["record_type", "record_id", "title", "body", "n_tokens"]
             )
 
-    slim = corpus.select("record_type", F.col("record_id").cast("string").alias("record_id"), "title", "body")
+    slim = spread(corpus.select("record_type", F.col("record_id").cast("string").alias("record_id"), "title", "body"))
     return slim.mapInArrow(run, "record_type string, record_id string, title string, body string, n_tokens int")
 
 
@@ -204,17 +211,17 @@ def _places(tokens_: str, phrase: tuple[str, ...]):
 
 def counted_analysed(table: DataFrame, plan: Plan) -> DataFrame:
     """As scanned, from an analysed corpus; one pass of native expressions."""
-    tf = F.array(*(_places(c, p) for p in plan.phrases for c in ("title", "body")))
-    return table.select("record_type", "record_id", "n_tokens", tf.alias("tf"))
+    tf = [_places(c, p) for p in plan.phrases for c in ("title", "body")]
+    return table.select("record_type", "record_id", "n_tokens", *(x.alias(name) for x, name in zip(tf, _columns(plan))))
 
 
 def counted(postings: DataFrame, lengths: DataFrame, plan: Plan) -> DataFrame:
-    """As scanned, from an index: records without a match have no entry of their own in tf."""
+    """As scanned, from an index; records without a match count nothing."""
     found = matches(postings, plan)
     per = found.groupBy("record_type", "record_id").agg(F.map_from_entries(F.collect_list(F.struct("phrase", F.struct("title_tf", "body_tf").alias("v")))).alias("m"))
     zero = F.lit(0)
-    tf = F.array(*(F.coalesce(F.try_element_at("m", F.lit(k))[side], zero).cast("int") for k in range(len(plan.phrases)) for side in ("title_tf", "body_tf")))
-    return lengths.join(per, ["record_type", "record_id"], "left").select("record_type", "record_id", "n_tokens", tf.alias("tf"))
+    tf = [F.coalesce(F.try_element_at("m", F.lit(k))[side], zero).cast("int") for k in range(len(plan.phrases)) for side in ("title_tf", "body_tf")]
+    return lengths.join(per, ["record_type", "record_id"], "left").select("record_type", "record_id", "n_tokens", *(x.alias(name) for x, name in zip(tf, _columns(plan))))
 
 
 def ranked(corpus: DataFrame, plan: Plan, weights: tuple[float, float] = KNOWLEDGE, indexed: tuple[DataFrame, DataFrame] | None = None, ready: bool = False) -> DataFrame:
@@ -228,7 +235,7 @@ def ranked(corpus: DataFrame, plan: Plan, weights: tuple[float, float] = KNOWLED
     n = len(plan.phrases)
     spark = corpus.sparkSession
     counts = counted_analysed(corpus, plan) if ready else Scratch(spark, "search").table(counted(*indexed, plan) if indexed else scanned(corpus, plan))
-    at = lambda k, side: F.element_at("tf", 2 * k + side + 1)
+    at = lambda k, side: F.col(f"{'tb'[side]}{k}")
     # a single row: the corpus statistics
     total = counts.agg(F.count("*").alias("n"), F.sum("n_tokens").alias("t"), *(F.count_if((at(k, 0) + at(k, 1)) > 0).alias(f"df{k}") for k in range(n))).first()
     n_docs = total["n"]
@@ -238,7 +245,8 @@ def ranked(corpus: DataFrame, plan: Plan, weights: tuple[float, float] = KNOWLED
         idf = math.log((n_docs - total[f"df{k}"] + 0.5) / (total[f"df{k}"] + 0.5)) if n_docs else 0.0
         f = weights[0] * at(k, 0) + weights[1] * at(k, 1)
         score = score + (idf if idf > 0 else 1e-6) * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("n_tokens") / F.lit(average)))
-    hit = counts.filter(F.exists("tf", lambda x: x > 0))
+    some = sum((at(k, 0) + at(k, 1) for k in range(1, n)), at(0, 0) + at(0, 1))
+    hit = counts.filter(some > 0)
     if plan.record_types:
         hit = hit.filter(F.col("record_type").isin(*plan.record_types))
     top = hit.select("record_type", "record_id", F.round(-score, 9).alias("score")).orderBy("score", "record_type", "record_id").limit(plan.limit + 1)

@@ -51,6 +51,12 @@ def load(spark: SparkSession, directory: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{directory}/{table}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores where its files make fewer tasks than there are (a small file is one task); large inputs stay as they are, unshuffled. For work in Python on texts, which costs far more than moving them."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def norm_id(column: Column | str) -> Column:
     """An id as it is compared: without surrounding white space, in lower case, null if nothing is left."""
     c = F.lower(F.trim(F.col(column) if isinstance(column, str) else column, F.lit(BLANKS)))
@@ -76,11 +82,16 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_LOCAL[0].name}"
 
 
+#: Folders of intermediate tables of this process, for clean().
+_WRITTEN: list[str] = []
+
+
 class Scratch:
     """Tables written to the shared folder to cut lineage; they survive the loss of executors."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root, self.n = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}", 0
+        _WRITTEN.append(self.root)
 
     def _path(self) -> str:
         self.n += 1
@@ -106,9 +117,10 @@ class Scratch:
         yes, no = seen.get["yes"], seen.get["no"]
         return part(yes, "true"), yes, part(no, "false"), no
 
-    def drop(self, df: DataFrame) -> None:
-        """Deletes the files of a table of this scratch that nothing reads any more."""
-        jvm = self.spark.sparkContext._jvm
-        for root in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            path = jvm.org.apache.hadoop.fs.Path(root)
-            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+def clean(spark: SparkSession) -> None:
+    """Deletes the intermediate tables of this process; results that read them must have been written before."""
+    jvm = spark.sparkContext._jvm
+    while _WRITTEN:
+        path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -57,3 +57,12 @@ def test_query_equals_its_sql(spark, name):
     got = sorted(([norm(v) for v in r] for r in df.select(*cols).collect()), key=key)
     want = sorted(([norm(v) for v in r] for r in rel.select(", ".join(f'"{c}"' for c in cols)).fetchall()), key=key)
     assert got == want
+
+
+def test_intermediate_tables_can_be_cleaned(spark):
+    from lodestrata.session import Scratch, clean, shared_dir
+
+    s = Scratch(spark, "test")
+    assert s.table(spark.range(3)).count() == 3 and Path(s.root.removeprefix("file://")).exists()
+    clean(spark)
+    assert not Path(s.root.removeprefix("file://")).exists() and Path(shared_dir(spark).removeprefix("file://")).exists()
