@@ -21,6 +21,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from lodestrata.session import spread
+
 #: Folder of the public tokenizers' files.
 TOKENIZERS = "/opt/tokenizers"
 #: Fixed: the pretoken pattern of the byte-level vocabularies.
@@ -130,7 +132,7 @@ def encoder(name: str, folder: str = TOKENIZERS) -> Encoder:
 
 
 def encode_column(df: DataFrame, key: str, text: str, name: str = "byte_bpe_50k", folder: str = TOKENIZERS) -> DataFrame:
-    """key, ids (list of int) of each row, without a shuffle; other columns are not read."""
+    """key, ids (list of int) of each row; no shuffle but to spread a small input; other columns are not read."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(name, folder)
@@ -140,7 +142,7 @@ def encode_column(df: DataFrame, key: str, text: str, name: str = "byte_bpe_50k"
             values = pa.array(np.concatenate([np.empty(0, np.int32), *rows]), pa.int32())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(offsets), values)], names=[key, "ids"])
 
-    slim = df.select(key, text)
+    slim = spread(df.select(key, text))
     return slim.mapInArrow(run, f"{key} {slim.dtypes[0][1]}, ids array<int>")
 
 
@@ -152,5 +154,5 @@ def count_column(df: DataFrame, key: str, text: str, name: str = "byte_bpe_50k",
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([e.count(t) for t in b.column(1).to_pylist()], pa.int32())], names=[key, "tokens"])
 
-    slim = df.select(key, text)
+    slim = spread(df.select(key, text))
     return slim.mapInArrow(run, f"{key} {slim.dtypes[0][1]}, tokens int")

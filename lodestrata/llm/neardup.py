@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestrata.llm.chars import Rolling, codes, mix, pieces, words
-from lodestrata.session import norm_id
+from lodestrata.session import norm_id, spread
 
 #: A pair at the threshold of 0.6 meets in one band at least with probability 0.994, at 0.65 with 0.9996.
 BANDS, ROWS = 64, 5
@@ -118,7 +118,7 @@ def keyed(texts: DataFrame, least_words: int, size: int, bands: int, rows: int)
                 c = np.repeat(cls[i:j][enough], bands)
                 yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pa.array(c)], names=["key", "cls"])
 
-    return texts.select("cls", "text").mapInArrow(run, "key long, cls long")
+    return spread(texts.select("cls", "text")).mapInArrow(run, "key long, cls long")
 
 
 def verified(pairs: DataFrame, least: float, size: int) -> DataFrame:

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestrata.llm.chars import Rolling, codes, pieces, words
+from lodestrata.session import spread
 
 STATES = ("prose", "list", "table", "junk")
 #: Labelled documents the model is trained on, at most: those of least hash, so a sample alike at every size.
@@ -334,7 +335,7 @@ STATISTICS = (
 
 
 def statistics(documents: DataFrame, model: Model) -> DataFrame:
-    """STATISTICS of each row of documents (doc_id, text), without a shuffle. Shares of labels are of non-blank characters."""
+    """STATISTICS of each row of documents (doc_id, text), without a shuffle but to spread a small input. Shares of labels are of non-blank characters."""
     held = documents.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -343,7 +344,7 @@ def statistics(documents: DataFrame, model: Model) -> DataFrame:
             for i, j in pieces(texts):
                 yield _statistics(b["doc_id"].iloc[i:j].to_numpy(), texts[i:j], held.value)
 
-    return documents.select("doc_id", "text").mapInPandas(run, STATISTICS)
+    return spread(documents.select("doc_id", "text")).mapInPandas(run, STATISTICS)
 
 
 def _statistics(ids: np.ndarray, texts: list[str], model: Model) -> pd.DataFrame:

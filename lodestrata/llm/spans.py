@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestrata.llm.chars import Rolling, codes, pieces
-from lodestrata.session import Scratch, norm_id
+from lodestrata.session import Scratch, norm_id, spread
 
 #: Length of a k-mer; a window of `span` characters holds span - K + 1 of them.
 K = 64
@@ -79,7 +79,7 @@ def _run_table(texts: DataFrame, span: int, k: int) -> DataFrame:
                     names=["rec", "src", "seed", "content", "start", "stop"],
                 )
 
-    return texts.select("rec", "src", "text").mapInArrow(work, "rec long, src long, seed long, content long, start int, stop int")
+    return spread(texts.select("rec", "src", "text")).mapInArrow(work, "rec long, src long, seed long, content long, start int, stop int")
 
 
 def _window_table(expanded: DataFrame, span: int) -> DataFrame:
