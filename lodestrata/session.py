@@ -51,10 +51,20 @@ def load(spark: SparkSession, directory: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{directory}/{table}.parquet")
 
 
+#: A shuffled input of up to so many bytes a core is spread again, as Spark may have coalesced it.
+SMALL = 4 << 20
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """df over all cores where its files make fewer tasks than there are (a small file is one task); large inputs stay as they are, unshuffled. For work in Python on texts, which costs far more than moving them."""
+    """df over all cores where it would make fewer tasks than there are: files of too few splits (a small file is one task), or a small
+    shuffled input. Large inputs stay as they are, unshuffled. For work in Python on texts, which costs far more than moving them."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    plan = df._jdf.queryExecution().optimizedPlan()
+    if any(node in plan.toString() for node in ("Aggregate", "Join", "Window", "Sort", "Repartition", "Distinct", "Limit")):
+        few = int(plan.stats().sizeInBytes()) <= SMALL * cores  # counting its partitions would run it
+    else:
+        few = df.rdd.getNumPartitions() < cores
+    return df.repartition(cores) if few else df
 
 
 def norm_id(column: Column | str) -> Column:
