@@ -44,7 +44,11 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _table(name: str) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, d: S.openalex_table(S.distinct_responses(load(spark, d, "openalex_search")), name)
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        t = S.openalex_table(S.distinct_responses(load(spark, d, "openalex_search")), name)
+        return t.withColumns({c: F.col(c).cast("int") for c, kind in t.dtypes if kind == "boolean"})  # flags as 0, 1 or null
+
+    return run
 
 
 for _name in S.OPENALEX_TABLES:
@@ -72,8 +76,8 @@ SQL["p1_works"] = """
 with oa as (select response_id, any_value(search) s from openalex_search where response_id is not null group by response_id),
 r as (select response_id, s.results[p] w, p - 1 result_pos from oa, unnest(range(1, len(s.results) + 1)) t(p))
 select response_id, result_pos::int result_pos, w.id id, w.doi doi, w.display_name display_name, w.publication_date publication_date, w.type "type", w.language "language", w.cited_by_count cited_by_count,
-w.is_retracted is_retracted, w.referenced_works_count referenced_works_count, w.relevance_score relevance_score, w.primary_location.license primary_location_license, w.ids.pmid ids_pmid, w.ids.pmcid ids_pmcid,
-w.open_access.is_oa open_access_is_oa, w.open_access.oa_status open_access_oa_status from r where w is not null
+w.is_retracted::int is_retracted, w.referenced_works_count referenced_works_count, w.relevance_score relevance_score, w.primary_location.license primary_location_license, w.ids.pmid ids_pmid, w.ids.pmcid ids_pmcid,
+w.open_access.is_oa::int open_access_is_oa, w.open_access.oa_status open_access_oa_status from r where w is not null
 """
 
 
