@@ -214,13 +214,9 @@ def sources_with_threats(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"select tid id, severity, status, row_number() over (order by severity desc nulls last, tid)::int as position from ({_PICKED_THREATS}) t where sv in (select sid from ({_PICKED_SOURCES})) qualify position <= 100")
 def topic_threats_ordered(spark: SparkSession, d: str) -> DataFrame:
-    """Observations on known sources in order of severity as text, the first hundred."""
-    from pyspark.sql import Window
-
+    """All observations on known sources with their place in order of severity as text."""
     known = C.threats(spark, d).join(C.sources(spark, d).select(F.col("source_version_id").alias("source_version")), "source_version", "left_semi")
-    order = [F.desc_nulls_last("severity"), F.asc("id")]
-    top = known.select("id", "severity", "status").orderBy(*order).limit(100)
-    return top.withColumn("position", F.row_number().over(Window.orderBy(*order)))
+    return views.positions(known.select("id", "severity", "status"), [F.desc_nulls_last("severity"), F.asc("id")])
 
 
 @query(

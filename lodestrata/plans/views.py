@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestrata.operators import closure
+from lodestrata.session import Scratch
 
 
 def valid_at(as_of, start: str = "valid_from", stop: str = "valid_until") -> Column:
@@ -87,6 +88,17 @@ def listing(anchors: DataFrame, limit: int, order: list[Column]) -> DataFrame:
     return top.join(F.broadcast(total), "_one").drop("_one").withColumn("truncated", F.col("total") > limit)  # one row of total
 
 
+def positions(df: DataFrame, order: list[Column]) -> DataFrame:
+    """df with position, the place of every row in a total order from 1; ranges of the order are numbered apart and then moved by what stands before them."""
+    parts = max(df.sparkSession.sparkContext.defaultParallelism, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    # written once, as a range drawn again could be another
+    ranged = Scratch(df.sparkSession, "positions").table(df.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()))
+    before = F.sum("n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    moved = ranged.groupBy("_part").agg(F.count("*").alias("n")).select("_part", F.coalesce(before, F.lit(0)).alias("_before"))  # as few as the ranges
+    own = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    return ranged.join(F.broadcast(moved), "_part").withColumn("position", (F.col("_before") + own).cast("int")).drop("_part", "_before")
+
+
 def _object(predicate: str):
     from lodestrata.functions.text import turtle_literal
 

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestrata.plans import planning as P
+from lodestrata.plans import views
 from lodestrata.sources import packs, snapshots
 
 
@@ -59,3 +60,20 @@ def test_state_and_consistency(spark):
     d = spark.createDataFrame([("d1", ["x", "y"]), ("d2", ["x"]), ("d3", [])], "d string, ids array<string>")
     rows = spark.createDataFrame([("d1", 2, "y"), ("d1", 1, "x"), ("d2", 1, "z")], "d string, ordinal int, id string")
     assert [r["d"] for r in packs.inconsistent(d, rows, "d", "ids", "id").collect()] == ["d2"]
+
+
+def test_positions_number_every_row(spark):
+    rows = [(f"t{i:04d}", ["low", "high", None, "critical"][i * 7 % 4]) for i in range(1500)]
+    got = {r["id"]: r["position"] for r in views.positions(spark.createDataFrame(rows, "id string, severity string"), [F.desc_nulls_last("severity"), F.asc("id")]).collect()}
+    rank = {"low": 0, "high": 1, "critical": 2, None: 3}
+    assert got == {r[0]: k for k, r in enumerate(sorted(rows, key=lambda r: (rank[r[1]], r[0])), 1)}
+
+
+def test_topic_threats_are_all_listed(spark, tmp_path):
+    import __spark_entry__ as entry
+
+    spark.sql("select 's' source_version_id, null license, 'u' source_uri, 'c' connector_id, timestamp '2024-01-01' acquired_at, timestamp '2024-01-01' ingested_at").write.parquet(f"{tmp_path}/library_source.parquet")
+    spark.sql("select concat('t', id) id, if(id < 140, 's', 'unknown') source_version, 'low' severity, 'confirmed' status, timestamp '2024-01-01' detected_at, timestamp '2024-01-01' ingested_at from range(150)").write.parquet(f"{tmp_path}/threat_observation.parquet")
+    got = entry.queries()["topic_threats_ordered"](spark, str(tmp_path)).collect()
+    assert [r["id"] for r in sorted(got, key=lambda r: r["position"])] == sorted(f"t{i}" for i in range(140))
+    assert sorted(r["position"] for r in got) == list(range(1, 141))
