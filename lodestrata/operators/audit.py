@@ -49,28 +49,31 @@ def indistinct_controversies(controversy_claim: DataFrame, claim: DataFrame) ->
 def opposing_unindexed(claim: DataFrame, controversy_claim: DataFrame) -> DataFrame:
     """Groups of one subject, predicate and qualifiers that hold opposing claims which no controversy has together.
 
-    Two claims oppose if they say the same object with different support, or different booleans. Instead of all pairs of
-    a group, the classes (object, support) of it are paired, of which a group has few, and a pair of classes is settled if
-    some controversy holds a claim of each. The finding's record is the smallest claim of the group.
+    Two claims oppose if they say the same object and only one supports it (asserts or reports; any other stance does not),
+    or if they say different booleans, whatever their stance. A pair is settled if some controversy holds both claims.
+    Pairs are counted, not listed: claims of one (object, support) in the same controversies are one class, and a class is
+    open if it has more opposing claims than share a controversy with it. The finding's record is the smallest open claim.
     """
-    supports = F.when(F.col("stance").isin("asserts", "reports"), True).when(F.col("stance") == "denies", False)
     group = ["subject", "predicate", "qualifiers"]
+    supports = F.coalesce(F.col("stance").isin("asserts", "reports"), F.lit(False))
     c = claim.filter("review_state = 'accepted'").select(
         F.col("id").alias("claim_id"), "subject", "predicate", F.coalesce("qualifiers", F.lit("")).alias("qualifiers"), F.lower("object").alias("object"), supports.alias("supports")
     )
-    classes = c.filter("supports is not null").groupBy(*group, "object", "supports").agg(F.min("claim_id").alias("one"))
-    x = classes.select(*group, F.col("object").alias("o1"), F.col("supports").alias("s1"), F.col("one").alias("c1"))
-    y = classes.select(*group, F.col("object").alias("o2"), F.col("supports").alias("s2"), F.col("one").alias("c2"))
-    # classes of one object meet on it; booleans, two at most in a group, meet each other
-    same = x.join(y.withColumn("o1", F.col("o2")), [*group, "o1"]).filter("s1 and not s2").select(*group, "o1", "s1", "o2", "s2", "c1", "c2")
-    truth = x.filter("o1 = 'true' and s1").join(y.filter("o2 = 'false' and s2"), group).select(*group, "o1", "s1", "o2", "s2", "c1", "c2")
-    pairs = same.unionByName(truth)
-    held = controversy_claim.join(c, "claim_id").select("controversy_id", *group, "object", "supports").distinct()
-    settled = held.select("controversy_id", *group, F.col("object").alias("o1"), F.col("supports").alias("s1")).join(
-        held.select("controversy_id", *group, F.col("object").alias("o2"), F.col("supports").alias("s2")), ["controversy_id", *group]
-    ).select(*group, "o1", "s1", "o2", "s2").distinct()
-    open_ = pairs.join(settled, [*group, "o1", "s1", "o2", "s2"], "left_anti")
-    return _findings(open_.groupBy(*group).agg(F.min(F.least("c1", "c2")).alias("id")), "direct-opposing-claims-unindexed", "warning", "id")
+    held = controversy_claim.groupBy("claim_id").agg(F.array_sort(F.collect_set("controversy_id")).alias("held"))
+    c = c.join(held, "claim_id", "left").withColumn("held", F.coalesce("held", F.array().cast("array<string>")))
+    classes = c.groupBy(*group, "object", "supports", "held").agg(F.count_distinct("claim_id").alias("n"), F.min("claim_id").alias("one"))
+    # what a class opposes: its object with the other support, and the other boolean with either
+    facing = lambda o, s: F.struct(o.alias("object"), s.alias("supports"))
+    other = F.when(F.col("object") == "true", "false").when(F.col("object") == "false", "true")
+    against = F.explode(F.filter(F.array(facing(F.col("object"), ~F.col("supports")), facing(other, F.lit(True)), facing(other, F.lit(False))), lambda x: x["object"].isNotNull()))
+    mine = classes.select(*group, F.struct("object", "supports", "held").alias("class"), "one", "held", against.alias("a")).select(*group, "class", "one", "held", "a.object", "a.supports")
+    sides = [*group, "object", "supports"]
+    opposing = mine.join(classes.groupBy(*sides).agg(F.sum("n").alias("n")), sides).groupBy(*group, "class", "one").agg(F.sum("n").alias("n"))
+    theirs = classes.select(*sides, F.col("held").alias("theirs"), "n", F.explode("held").alias("k"))
+    shared = mine.withColumn("k", F.explode("held")).join(theirs, [*sides, "k"]).select(*group, "class", "object", "supports", "theirs", "n").distinct()
+    settled = shared.groupBy(*group, "class").agg(F.sum("n").alias("settled"))
+    open_ = opposing.join(settled, [*group, "class"], "left").filter(F.col("n") > F.coalesce("settled", F.lit(0)))
+    return _findings(open_.groupBy(*group).agg(F.min("one").alias("id")), "direct-opposing-claims-unindexed", "warning", "id")
 
 
 def stale_gaps(gap: DataFrame, as_of) -> DataFrame:

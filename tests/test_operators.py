@@ -110,6 +110,36 @@ def test_audit(spark):
     assert A.opposing_unindexed(held["claim"], held["controversy_claim"]).count() == 0
 
 
+def opposing(spark, claims, held):
+    c = spark.createDataFrame([(*x, "accepted") for x in claims], "id string, subject string, predicate string, object string, qualifiers string, stance string, review_state string")
+    return {r["record_id"] for r in A.opposing_unindexed(c, spark.createDataFrame(held, "controversy_id string, claim_id string")).collect()}
+
+
+def test_every_stance_opposes_an_assertion_and_every_pair_needs_a_controversy(spark):
+    q = ("s", "p", "x", "")
+    assert opposing(spark, [("a", *q, "asserts"), ("b", *q, "questions")], []) == {"a"}
+    assert opposing(spark, [("a", *q, "denies"), ("b", *q, "questions")], []) == set()
+    assert opposing(spark, [("a", "s", "p", "true", "", "denies"), ("b", "s", "p", "false", "", "asserts")], []) == {"a"}
+    # one pair in a controversy leaves the others of its classes open
+    assert opposing(spark, [("a", *q, "asserts"), ("b", *q, "asserts"), ("c", *q, "denies")], [("k", "a"), ("k", "c")]) == {"b"}
+
+
+def test_opposing_claims_against_all_pairs(spark):
+    for seed in range(3):
+        r = random.Random(seed)
+        claims = [(f"c{i:02d}", f"s{r.randrange(5)}", "p", r.choice(["true", "False", "x", "X"]), r.choice([None, ""]), r.choice(["asserts", "reports", "denies", "questions"])) for i in range(40)]
+        held = [(f"k{r.randrange(12)}", f"c{i:02d}") for i in range(40) for _ in range(r.randrange(5))]
+        sets = {k: {c for j, c in held if j == k} for k, _ in held}
+        want: dict[str, set[str]] = {}
+        for a in claims:
+            for b in claims:
+                o, p = a[3].lower(), b[3].lower()
+                sides = [x[5] in ("asserts", "reports") for x in (a, b)]
+                if a[0] < b[0] and a[1] == b[1] and (o == p and sides[0] != sides[1] or {o, p} == {"true", "false"}) and not any({a[0], b[0]} <= s for s in sets.values()):
+                    want.setdefault(a[1], set()).update((a[0], b[0]))
+        assert opposing(spark, claims, held) == {min(v) for v in want.values()}
+
+
 def test_proposals(spark):
     c = spark.createDataFrame([("a", "x", ["r"]), ("a", "y", None), ("b", "x", [])], "proposal_id string, concept_id string, broader array<string>")
     k = spark.createDataFrame([("a", "x", "p", "1", ["e"]), ("a", "x", "p", "1", ["e", "f"]), ("a", "y", "q", "1", None)], "proposal_id string, subject string, predicate string, object string, evidence array<string>")
