@@ -502,7 +502,7 @@ def identifier_view(spark: SparkSession, d: str) -> DataFrame:
     ident = C.research_identifiers(h)
     top = h.select(F.explode("known_ids").alias("k")).groupBy("k").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "k").limit(1).first()
     kind, value = top["k"].split(":", 1) if top else ("doi", "")
-    refs = citations.extract(C.anchors(spark, d).select("anchor_id", "exact_text"), "anchor_id", "exact_text")
+    refs = citations.extract(citations.under_references(C.anchors(spark, d)), "anchor_id", "exact_text", "under_references")
     return views.identifier_view(kind, value, ident, refs, h)
 
 

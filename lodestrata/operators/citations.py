@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import re
+import sys
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestrata.functions import identifiers
 from lodestrata.functions.text import public_url
+from lodestrata.operators import structure
 from lodestrata.session import spread
 
 #: Kind and pattern; the group `v` is the value. Identifiers come first and protect what they cover from being read as addresses.
@@ -31,8 +34,13 @@ SIGNALS = (
     ("uses", re.compile(r"\b(?:us(?:es|ed|ing)|adopt(?:s|ed|ing))\b", re.IGNORECASE)),
     ("cites", re.compile(r"\b(?:cit(?:es|ed|ing)|see|according to|references?)\b", re.IGNORECASE)),
 )
-#: Characters before a mention in which a signal counts.
+#: Characters before a mention, within its anchor, in which a signal counts.
 REACH = 96
+#: Labels of sections that list references, and their headings within a text that is no heading of its own.
+REFERENCES = r"(?:references?|bibliography|works cited|sources)\b"
+LISTED, HEADED = re.compile(rf"\b{REFERENCES}", re.IGNORECASE), re.compile(rf"(?:^|\n)[ \t]*#{{1,6}}[ \t]+{REFERENCES}", re.IGNORECASE)
+#: Kinds of anchors that hold no others.
+LEAVES = ("footnote", "caption", "list_item", "paragraph", "heading")
 SCHEMA = "kind string, raw string, start long, stop long, relation string, signal string"
 
 
@@ -49,7 +57,11 @@ def trimmed(token: str) -> str:
 
 
 def mentions(text: str | None, under_references: bool = False) -> list[tuple]:
-    """Rows of SCHEMA of a text, in order; under_references: whether it stands under a heading of references."""
+    """Rows of SCHEMA of a text, in order; under_references: whether the whole text stands under a heading of references.
+
+    The relation is that of the nearest signal within the mention's anchor; without one, a mention cites if its anchor or
+    one above it is labelled as references, or if it is the target of a link.
+    """
     text = text or ""
     spans: list[tuple[int, int]] = []
     found: list[tuple[str, str, int, int]] = []
@@ -64,29 +76,51 @@ def mentions(text: str | None, under_references: bool = False) -> list[tuple]:
         value = trimmed(m.group())
         if not any(a < m.start() + len(value) and m.start() < z for a, z in spans) and public_url(value):
             found.append(("url", value, m.start(), m.start() + len(value)))
+    if not found:
+        return []
+    rows = structure.anchors(text, sys.maxsize)
+    leaves = [r for r in rows if r[1] in LEAVES]
+    starts = [r[2] for r in leaves]
+    listed: dict[int, bool] = {}  # by ordinal; parents come first
+    for r in rows:
+        listed[r[0]] = bool(LISTED.search(r[6] or "")) or (r[7] is not None and listed[r[7]])
     out = []
     for kind, value, start, stop in sorted(set(found), key=lambda f: (f[2], f[3], f[0])):
-        before = text[max(0, start - REACH) : start]
+        anchor = leaves[bisect_right(starts, start) - 1]  # no value spans lines, and no line but a blank one is without leaf
+        before = text[max(anchor[2], start - REACH) : start]
         signals = [(m.start(), -k, name, m.group()) for k, (name, p) in enumerate(SIGNALS) for m in p.finditer(before)]
         if signals:
             _, _, relation, signal = max(signals)
         else:
-            linked = before.endswith("](") or text.lstrip().startswith("#")
-            relation, signal = ("cites", None) if under_references or linked else ("mentions", None)
+            linked = "](" in before[-8:] or HEADED.search(before)
+            relation, signal = ("cites", None) if under_references or listed[anchor[0]] or linked else ("mentions", None)
         out.append((kind, value, start, stop, relation, signal))
     return out
 
 
-def extract(df: DataFrame, key: str, text: str) -> DataFrame:
-    """key, SCHEMA and the normalised value of each mention; values that no normaliser takes are left out."""
+def extract(df: DataFrame, key: str, text: str, under_references: str | None = None) -> DataFrame:
+    """key, SCHEMA and the normalised value of each mention; values that no normaliser takes are left out.
+
+    under_references: a boolean column, for texts that are parts of a document: whether their section lists references.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [key, *(c.split()[0] for c in SCHEMA.split(", "))]
         for b in batches:
-            yield pd.DataFrame([(k, *m) for k, t in zip(b.iloc[:, 0], b.iloc[:, 1]) for m in mentions(t)], columns=names)
+            yield pd.DataFrame([(k, *m) for k, t, u in zip(b.iloc[:, 0], b.iloc[:, 1], b.iloc[:, 2]) for m in mentions(t, bool(u))], columns=names)
 
     # texts without anything like a mention never leave the JVM
-    slim = spread(df.select(key, text)).filter(F.col(text).rlike(r"(?i)10\.[0-9]{4}|pmid|pmc[0-9:i]|arxiv|https?://"))
+    under = F.coalesce(F.col(under_references), F.lit(False)) if under_references else F.lit(False)
+    slim = spread(df.select(key, text, under.alias("_under"))).filter(F.col(text).rlike(r"(?i)10\.[0-9]{4}|pmid|pmc[0-9:i]|arxiv|https?://"))
     raw = slim.mapInPandas(run, f"{key} {slim.dtypes[0][1]}, {SCHEMA}")
     value = F.when(F.col("kind") == "url", F.col("raw")).otherwise(identifiers.normalised(F.col("kind"), F.col("raw")))
     return raw.withColumn("value", value).filter("value is not null")
+
+
+def under_references(anchors: DataFrame) -> DataFrame:
+    """anchors (anchor_id, source_version_id, page_number, anchor_kind, anchor_start, exact_text) with under_references: whether the heading
+    before each on its page, or its own, is one of references. Of headings above that one the level is not known."""
+    heading = F.when(F.col("anchor_kind") == "heading", F.col("exact_text"))
+    place = Window.partitionBy(F.coalesce("source_version_id", F.concat(F.lit("anchor "), "anchor_id")), "page_number").orderBy("anchor_start", (F.col("anchor_kind") != "heading").cast("int"), "anchor_id")
+    nearest = F.when(F.col("anchor_start").isNull(), heading).otherwise(F.last(F.when(F.col("anchor_start").isNotNull(), heading), ignorenulls=True).over(place))
+    return anchors.withColumn("under_references", F.coalesce(nearest.rlike(rf"(?i)\b{REFERENCES}"), F.lit(False)))

@@ -97,6 +97,17 @@ def test_citations(spark):
     assert {r["value"] for r in citations.extract(df, "id", "t").filter("kind = 'arxiv'").collect()} == {"2101.00001"}
 
 
+def test_relations_by_anchor_and_section(spark):
+    rel = lambda t: [m[4] for m in citations.mentions(t)]
+    assert rel("# Title\n\nx 10.1000/a\n\n## References\n\n### Primary\n\n- y 10.1000/b\n\n# Next\n\nz 10.1000/c") == ["mentions", "cites", "mentions"]
+    assert rel("This corrects all.\n\nx 10.1000/a") == ["mentions"] and rel("This corrects\nx 10.1000/a") == ["corrects"]
+    assert rel("Works cited\n===========\n[^1]: 10.1000/a\n\f10.1000/b") == ["cites", "mentions"] and rel("[t]( https://example.org/a)") == ["cites"]
+    rows = [("a", "s", 1, "heading", 0, "References"), ("b", "s", 1, "list_item", 20, "q 10.1000/b"), ("c", "s", 1, "heading", 40, "Notes"), ("d", "s", 1, "paragraph", 60, "q 10.1000/d"), ("e", None, 1, "paragraph", 30, "q 10.1000/e")]
+    df = spark.createDataFrame(rows, "anchor_id string, source_version_id string, page_number int, anchor_kind string, anchor_start long, exact_text string")
+    got = citations.extract(citations.under_references(df), "anchor_id", "exact_text", "under_references").collect()
+    assert {(r["anchor_id"], r["relation"]) for r in got} == {("b", "cites"), ("d", "mentions"), ("e", "mentions")}
+
+
 def test_connectors(spark, tmp_path):
     crossref = {"status": "ok", "message": {"items": [{"DOI": "10.1000/A", "title": ["<b>T</b> &amp; U"], "author": [{"given": "A", "family": "B"}, {"name": "Org"}], "published": {"date-parts": [[2020, 5]]}, "score": 1.5}, {"DOI": "not-a-doi"}]}}
     r = C.crossref_hits(spark.createDataFrame([(1, json.dumps(crossref)), (2, None), (3, "{")], "response_id long, body string")).collect()
