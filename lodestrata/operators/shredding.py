@@ -103,7 +103,7 @@ OPENALEX_NODES = {
     "authorship": ("search.results.authorships", "search.results.authorships.author.id"),
     "institution": ("search.results.authorships.institutions", "search.results.authorships.institutions.ror"),
 }
-POSITIONS = {"result_pos": "search.results", "author_pos": "search.results.authorships", "institution_pos": "search.results.authorships.institutions"}
+POSITIONS = {"result_pos": "search.results", "author_pos": "search.results.authorships", "institution_pos": "search.results.authorships.institutions", "issn_pos": "search.results.primary_location.source.issn"}
 
 NODE_SCHEMA = "connector string, response_id long, node string, result_pos int, author_pos int, institution_pos int, node_key string"
 
@@ -218,15 +218,16 @@ OPENALEX_TABLES = {
         "referenced_works_count": "long", "relevance_score": "double", "primary_location.license": "string", "ids.pmid": "string", "ids.pmcid": "string", "open_access.is_oa": "boolean", "open_access.oa_status": "string",
     }),
     "venues": ("search.results.primary_location.source", ("result_pos",), {"display_name": "string", "issn_l": "string"}),
+    "venue_issns": ("search.results.primary_location.source.issn", ("result_pos", "issn_pos"), {"issn": "string"}),
     "authorships": ("search.results.authorships", ("result_pos", "author_pos"), {"author.id": "string", "author.display_name": "string", "author.orcid": "string"}),
     "institutions": ("search.results.authorships.institutions", ("result_pos", "author_pos", "institution_pos"), {"ror": "string"}),
 }
 
 
 def openalex_table(responses: DataFrame, table: str) -> DataFrame:
-    """One flat table of OPENALEX_TABLES; dots of nested fields become underscores."""
+    """One flat table of OPENALEX_TABLES; dots of nested fields become underscores. A list of plain values is an object of one field, named as the list."""
     obj, positions, fields = OPENALEX_TABLES[table]
-    columns = {f.replace(".", "_"): f"{obj}.{f}" for f in fields}
+    columns = {f.replace(".", "_"): obj if obj.endswith(f".{f}") else f"{obj}.{f}" for f in fields}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -236,6 +237,20 @@ def openalex_table(responses: DataFrame, table: str) -> DataFrame:
     return responses.select("response_id", "search").mapInArrow(run, schema)
 
 
+#: Fields of search.meta of an OpenAlex response.
+META = ("count", "next_cursor", "cost_usd")
+
+
+def responses_table(responses: DataFrame, meta: tuple[str, ...] = ()) -> DataFrame:
+    """The flat table of the responses themselves, as first delivered: response_id, query_text, fetched_at, ingested_at and fields of search.meta."""
+    from pyspark.sql import functions as F
+
+    own = F.struct("query_text", "fetched_at", "ingested_at", *(F.col(f"search.meta.{f}").alias(f"meta_{f}") for f in meta))
+    rows = responses.filter("response_id is not null").select("response_id", own.alias("own"))
+    # a null time is the last, else a row with one could be lost
+    return rows.groupBy("response_id").agg(F.min_by("own", F.struct(F.col("own.ingested_at").isNull(), "own.ingested_at")).alias("own")).select("response_id", "own.*")
+
+
 def distinct_responses(responses: DataFrame) -> DataFrame:
     """A response delivered twice counts once; rows without a response_id have no key and are no records."""
     return responses.select("response_id", "search").filter("response_id is not null").dropDuplicates(["response_id"])

@@ -62,6 +62,12 @@ with oa as (select response_id, any_value(search) s from openalex_search where r
 r as (select response_id, s.results[p] w, p - 1 result_pos from oa, unnest(range(1, len(s.results) + 1)) t(p))
 select response_id, result_pos::int result_pos, w.primary_location.source.display_name display_name, w.primary_location.source.issn_l issn_l from r where w.primary_location.source is not null
 """
+SQL["p1_venue_issns"] = """
+with oa as (select response_id, any_value(search) s from openalex_search where response_id is not null group by response_id),
+r as (select response_id, s.results[p] w, p - 1 result_pos from oa, unnest(range(1, len(s.results) + 1)) t(p)),
+i as (select response_id, result_pos, w.primary_location.source.issn[p] issn, p - 1 issn_pos from r, unnest(range(1, len(w.primary_location.source.issn) + 1)) t(p))
+select response_id, result_pos::int result_pos, issn_pos::int issn_pos, issn from i where issn is not null
+"""
 SQL["p1_authorships"] = """
 with oa as (select response_id, any_value(search) s from openalex_search where response_id is not null group by response_id),
 r as (select response_id, s.results[p] w, p - 1 result_pos from oa, unnest(range(1, len(s.results) + 1)) t(p)),
@@ -77,6 +83,21 @@ w.open_access.is_oa open_access_is_oa, w.open_access.oa_status open_access_oa_st
 """
 
 
+@query(
+    """select response_id, query_text, fetched_at, ingested_at, search.meta.count meta_count, search.meta.next_cursor meta_next_cursor, search.meta.cost_usd meta_cost_usd
+from openalex_search where response_id is not null qualify row_number() over (partition by response_id order by ingested_at nulls last) = 1"""
+)
+def p1_responses(spark: SparkSession, d: str) -> DataFrame:
+    """The responses of OpenAlex that the other tables link to."""
+    return S.responses_table(load(spark, d, "openalex_search"), S.META)
+
+
+@query("select response_id, query_text, fetched_at, ingested_at from europe_pmc_search where response_id is not null qualify row_number() over (partition by response_id order by ingested_at nulls last) = 1")
+def p1_epmc_responses(spark: SparkSession, d: str) -> DataFrame:
+    """The responses of Europe PMC that its works link to."""
+    return S.responses_table(load(spark, d, "europe_pmc_search"))
+
+
 @query()
 def p1_epmc_works(spark: SparkSession, d: str) -> DataFrame:
     """The flat table of Europe PMC results."""

@@ -76,3 +76,13 @@ def test_positions_are_counted_over_null_elements():
     array = pa.array([[None, {"id": "a"}, None, {"id": "b"}]], pa.list_(pa.struct([("id", pa.string())])))
     t = S.table_at(S.shred(array, "s")[0], ("s",))
     assert t["s"].tolist() == [1, 3] and np.array_equal(t["record"], [0, 0])
+
+
+def test_every_issn_and_response_has_a_row(spark):
+    schema = "response_id long, query_text string, fetched_at string, ingested_at string, search struct<meta:struct<count:long, next_cursor:string, cost_usd:double>, results:array<struct<primary_location:struct<source:struct<display_name:string, issn_l:string, issn:array<string>>>>>>"
+    venue = lambda *issn: {"primary_location": {"source": {"display_name": "v", "issn_l": "a", "issn": list(issn)}}}
+    first = (1, "q", "f", "2", {"meta": {"count": 5, "next_cursor": "n", "cost_usd": 0.5}, "results": [venue("a", None, "b"), None, venue(), {"primary_location": None}, venue("c")]})
+    df = spark.createDataFrame([first, (1, "q", "f", "3", first[4]), (2, "z", None, None, None)], schema)
+    got = sorted(tuple(r) for r in S.openalex_table(S.distinct_responses(df), "venue_issns").collect())
+    assert got == [(1, 0, 0, "a"), (1, 0, 2, "b"), (1, 4, 0, "c")]
+    assert sorted(tuple(r) for r in S.responses_table(df, S.META).collect()) == [(1, "q", "f", "2", 5, "n", 0.5), (2, "z", None, None, None, None, None)]
