@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestrata.functions import identifiers as I
 from lodestrata.functions.ids import content_id_column
-from lodestrata.operators import dedup, shredding
+from lodestrata.operators import citations, dedup, shredding
 from lodestrata.session import load, norm_id
 from lodestrata.sources import connectors
 
@@ -61,14 +61,22 @@ def _doc(df: DataFrame, kind: str, rid, title, body) -> DataFrame:
 
 
 def search_corpus(spark: SparkSession, d: str) -> DataFrame:
-    """record_type, record_id, title, body of concepts (accepted ones), sources, threats, anchors, hits and documents."""
+    """record_type, record_id, title, body of concepts and claims (accepted ones), evidence, sources, threats, anchors, hits (as discovery), identifiers, references and documents."""
     c, s, t, a, x = F.col, sources(spark, d), threats(spark, d), anchors(spark, d), load(spark, d, "documents")
+    h = hits(spark, d)
+    refs = citations.extract(citations.under_references(a), "anchor_id", "exact_text", "under_references").withColumn("locator", I.locator(c("kind"), c("value")))
+    refs = refs.join(a.select("anchor_id", "exact_text"), "anchor_id")
     join = lambda *cols: F.concat_ws(" ", *cols)
     parts = [
         _doc(concepts(spark, d).filter("review_state = 'accepted'"), "concept", c("id"), c("label"), join("description", F.array_join("synonyms", " "))),
         _doc(s, "source", c("source_version_id"), c("source_uri"), join("connector_id", "media_type", "license")),
         _doc(t, "threat", c("id"), c("threat_type"), join("status", "severity", "detector_id")),
         _doc(a, "anchor", c("anchor_id"), F.coalesce(F.col("title"), F.col("anchor_kind")), c("exact_text")),
+        _doc(claims(spark, d).filter("review_state = 'accepted'"), "claim", c("id"), join("subject", "predicate"), join("object", "stance", "qualifiers")),
+        _doc(evidence(spark, d), "evidence", c("id"), join(F.lit("Evidence from"), "source_id"), F.lit("")),
+        _doc(h, "discovery", F.concat_ws("|", "connector_id", "upstream_id", "response_id", "rank"), c("title"), join("locator", "language", F.array_join("known_ids", " "))),
+        _doc(research_identifiers(h), "identifier", c("id"), join("kind", "value"), c("locator")),
+        _doc(refs, "reference", F.concat_ws("|", "anchor_id", "start", "kind", "value"), join("relation", "kind", "value"), join("locator", "signal", "exact_text")),
         _doc(x, "document", c("doc_id"), c("title"), c("text")),
     ]
     out = parts[0]

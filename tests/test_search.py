@@ -84,3 +84,16 @@ def test_snippets_and_context(spark, corpus):
     assert [(r["used"], r["complete"]) for r in out] == [(200, True), (56, False)]
     with pytest.raises(ValueError):
         S.context(hits, 10)
+
+
+def test_corpus_holds_hits_claims_evidence_identifiers_and_references(spark):
+    from pathlib import Path
+
+    import __spark_entry__ as entry
+    from lodestrata.plans import corpus
+
+    if not Path(entry.SMALL).exists():
+        pytest.skip("no test tables here")
+    got = {r["record_type"]: r["count"] for r in corpus.search_corpus(spark, entry.SMALL).groupBy("record_type").count().collect()}
+    assert set(got) == {"concept", "source", "threat", "anchor", "document", "discovery", "claim", "evidence", "identifier", "reference"}
+    assert got["discovery"] == corpus.hits(spark, entry.SMALL).count() and got["claim"] == corpus.claims(spark, entry.SMALL).filter("review_state = 'accepted'").count()
