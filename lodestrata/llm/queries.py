@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lodestrata.llm import bpe, names, neardup, packing, quality, spans
 from lodestrata.operators.shredding import distinct_responses
-from lodestrata.session import Scratch, load
+from lodestrata.session import Scratch, load, norm_id
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -48,11 +48,14 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def p3_shared(spark: SparkSession, d: str) -> DataFrame:
-    """How much of each anchor is shared: characters, covered characters and share, of anchors with any."""
-    rows, found = _spans(spark, d)
+    """How much of each anchor is shared: characters, covered characters and share, 0 of anchors with none, short or without text."""
+    _, found = _spans(spark, d)
     covered = spans.exact_spans(found).groupBy("rec").agg(F.sum(F.col("span_end") - F.col("span_start")).alias("covered"), F.count("*").alias("n_spans"))
-    sizes = rows.groupBy("rec", F.col("id").alias("anchor_id")).agg(F.max(F.length("text")).alias("n_chars"))
-    return covered.join(sizes, "rec").select("anchor_id", "n_chars", "covered", "n_spans", F.round(F.col("covered") / F.col("n_chars"), 6).alias("shared_share"))
+    every = load(spark, d, "library_anchor").select(norm_id("anchor_id").alias("anchor_id"), F.length("exact_text").alias("n")).filter("anchor_id is not null")
+    sizes = every.groupBy("anchor_id").agg(F.coalesce(F.max("n"), F.lit(0)).alias("n_chars")).withColumn("rec", F.xxhash64("anchor_id"))
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
+    share = F.when(F.col("covered") > 0, F.round(F.col("covered") / F.col("n_chars"), 6)).otherwise(0.0)
+    return sizes.join(covered, "rec", "left").select("anchor_id", "n_chars", zero("covered"), zero("n_spans"), share.alias("shared_share"))
 
 
 @query()
@@ -104,9 +107,11 @@ def p7_ids(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def p7_token_counts(spark: SparkSession, d: str) -> DataFrame:
     """Documents, tokens and characters by language, for the size of the corpus in tokens."""
-    docs = load(spark, d, "documents")
-    counts = bpe.count_column(docs, "doc_id", "text")
-    return counts.agg(F.count("*").alias("n_documents"), F.sum("tokens").alias("n_tokens"), F.count_if(F.col("tokens") == 0).alias("n_empty"), F.max("tokens").alias("most_tokens"))
+    docs = load(spark, d, "documents").select(F.struct("lang", F.coalesce(F.length("text"), F.lit(0)).alias("chars")).alias("doc"), "text")
+    counts = bpe.count_column(docs, "doc", "text").select("doc.*", "tokens")
+    return counts.groupBy("lang").agg(
+        F.count("*").alias("n_documents"), F.sum("tokens").alias("n_tokens"), F.sum("chars").alias("n_chars"), F.count_if(F.col("tokens") == 0).alias("n_empty"), F.max("tokens").alias("most_tokens")
+    )
 
 
 # ---- 8: packing ----

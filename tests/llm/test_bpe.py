@@ -51,3 +51,11 @@ def test_column_with_nulls_empties_and_clashing_names(spark):
 def test_lone_surrogates_are_replaced(both):
     own, other = both
     assert own.encode("a\ud800b").tolist() == other("a�b")
+
+
+def test_token_counts_by_language(spark, tmp_path):
+    import __spark_entry__ as entry
+
+    spark.createDataFrame([(1, "en", "ab cd"), (2, "en", ""), (3, "de", "x"), (4, None, None)], "doc_id long, lang string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["lang"]: (r["n_documents"], r["n_chars"], r["n_empty"]) for r in entry.queries()["p7_token_counts"](spark, str(tmp_path)).collect()}
+    assert got == {"en": (2, 5, 1), "de": (1, 1, 0), None: (1, 0, 1)}

@@ -109,3 +109,14 @@ def test_passages_have_an_identity(spark):
     m = S.matches(r, SPAN, Scratch(spark, "t"), K)
     out = S.passages(S.chains(m), r.select("rec", "text")).collect()
     assert len(out) == 2 and all(x["n_matches"] == 2 and 0.95 < x["identity"] < 1 for x in out)
+
+
+def test_every_anchor_has_a_share(spark, tmp_path):
+    import __spark_entry__ as entry
+
+    r = random.Random(5)
+    text = "".join(r.choice("abcdefghij ") for _ in range(400))
+    rows = [("A", "s", text[:200] + "x" * 200), ("b", "t", text), ("c", "u", "".join(r.choice("klmnop") for _ in range(300))), ("d", "u", "short"), ("e", "u", ""), ("f", "u", None), (None, "u", text), (" a ", "s", text[:200] + "x" * 200)]
+    spark.createDataFrame(rows, "anchor_id string, source_version_id string, exact_text string").write.parquet(f"{tmp_path}/library_anchor.parquet")
+    got = {x["anchor_id"]: (x["n_chars"], x["covered"], x["n_spans"], x["shared_share"]) for x in entry.queries()["p3_shared"](spark, str(tmp_path)).collect()}
+    assert got == {"a": (400, 200, 1, 0.5), "b": (400, 200, 1, 0.5), "c": (300, 0, 0, 0.0), "d": (5, 0, 0, 0.0), "e": (0, 0, 0, 0.0), "f": (0, 0, 0, 0.0)}
