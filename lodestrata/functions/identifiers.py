@@ -21,7 +21,7 @@ def doi(c: Column | str) -> Column:
     """Lower case, without scheme, resolver or label, percent signs decoded; 10.<4 to 9 digits>/<anything but blanks>."""
     bare = F.regexp_replace(_text(c), r"(?i)^(?:https?://(?:dx\.)?doi\.[a-z]+/|doi:\s*)", "")
     decoded = F.coalesce(F.try_url_decode(F.regexp_replace(bare, r"\+", "%2B")), bare)
-    return F.lower(_matched(decoded, r"^(10\.[0-9]{4,9}/\S+)$"))
+    return F.lower(_matched(F.regexp_replace(decoded, r"[.,;]+$", ""), r"^(10\.[0-9]{4,9}/\S+)$"))
 
 
 def doi_locator(c: Column | str) -> Column:
@@ -30,20 +30,20 @@ def doi_locator(c: Column | str) -> Column:
 
 
 def pmid(c: Column | str) -> Column:
-    """Digits without leading zeros, at most 12, with or without label or address."""
-    return _matched(F.regexp_replace(_text(c), r"(?i)^(?:https?://pubmed\.ncbi\.nlm\.nih\.gov/|pmid:?\s*)", ""), r"^0*([1-9][0-9]{0,11})/?$")
+    """One to nine digits, the first no zero, with or without label or address."""
+    return _matched(F.regexp_replace(_text(c), r"(?i)^(?:https?://pubmed\.ncbi\.nlm\.nih\.gov/|pmid:\s*)", ""), r"^([1-9][0-9]{0,8})/*$")
 
 
 def pmcid(c: Column | str) -> Column:
-    """PMC and digits."""
-    bare = F.upper(F.regexp_replace(_text(c), r"(?i)^(?:https?://(?:www\.)?(?:pmc\.)?ncbi\.nlm\.nih\.gov/(?:pmc/)?articles/|pmcid:?\s*)", ""))
-    return F.concat(F.lit("PMC"), _matched(bare, r"^(?:PMC)?0*([1-9][0-9]{0,11})/?$"))
+    """PMC and digits, the first no zero, with or without label or address."""
+    bare = F.upper(F.regexp_replace(_text(c), r"(?i)^(?:https?://(?:www\.)?(?:pmc\.)?ncbi\.nlm\.nih\.gov/(?:pmc/)?articles/|https?://europepmc\.org/article/pmc/|pmcid:\s*)", ""))
+    return _matched(bare, r"^(PMC[1-9][0-9]*)/*$")
 
 
 def arxiv(c: Column | str) -> Column:
-    """New (0704.0001) and old (hep-th/9901001) style, without version."""
+    """Numbers of the present style (0704.0001), with their version if they name one."""
     bare = F.lower(F.regexp_replace(_text(c), r"(?i)^(?:https?://arxiv\.org/(?:abs|pdf)/|arxiv:\s*)", ""))
-    return _matched(bare, r"^([0-9]{4}\.[0-9]{4,5}|[a-z.-]+/[0-9]{7})(?:v[0-9]+)?(?:\.pdf)?$")
+    return _matched(bare, r"^([0-9]{4}\.[0-9]{4,5}(?:v[1-9][0-9]*)?)(?:\.pdf)?$")
 
 
 def _digits(text: Column) -> Column:
@@ -91,7 +91,7 @@ def locator(kind: Column, value: Column) -> Column:
     return (
         F.when(kind == "doi", F.concat(F.lit("https://doi.org/"), value))
         .when(kind == "pmid", F.concat(F.lit("https://pubmed.ncbi.nlm.nih.gov/"), value, F.lit("/")))
-        .when(kind == "pmcid", F.concat(F.lit("https://pmc.ncbi.nlm.nih.gov/articles/"), value, F.lit("/")))
+        .when(kind == "pmcid", F.concat(F.lit("https://www.ncbi.nlm.nih.gov/pmc/articles/"), value, F.lit("/")))
         .when(kind == "arxiv", F.concat(F.lit("https://arxiv.org/abs/"), value))
         .when(kind == "orcid", F.concat(F.lit("https://orcid.org/"), value))
         .when(kind == "ror", F.concat(F.lit("https://ror.org/"), value))

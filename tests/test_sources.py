@@ -87,18 +87,62 @@ def test_structure(spark):
     assert {r["id"]: r["count"] for r in structure.extract(df, "id", "t").groupBy("id").count().collect()} == {1: len(rows), 2: 2, 3: 2}
 
 
+def test_lines_of_structure():
+    kinds = lambda t: [(r[1], r[6]) for r in structure.anchors(t) if r[1] not in ("document", "page", "section")]
+    assert kinds("        - deep") == [("paragraph", None)] and kinds("   - near") == [("list_item", None)]
+    assert kinds("- item\n===") == [("heading", "- item")] and kinds("    [^1]: x") == [("paragraph", None)] and kinds("[^n]:") == [("footnote", "Footnote n")]
+    assert kinds("       Table IV - t") == [("caption", "Table IV - t")] and kinds("Figures: x") == [("paragraph", None)] and kinds("fig. 3: x")[0][0] == "caption"
+    assert kinds("# A #\n####### seven\n#none") == [("heading", "A"), ("paragraph", None)] and kinds("## ##") == [("heading", "#")]
+    assert kinds("---\n---\n---\nx") == [("heading", "---"), ("paragraph", None)]
+    rows = structure.anchors("# A\n## B\n# C\ntext")
+    assert [(r[2], r[3]) for r in rows if r[1] == "section"] == [(0, 9), (4, 9), (9, 17)]
+    many = "\n\n".join("x" for _ in range(30))
+    assert structure.anchors(many, 10) is None and structure.anchors(many, 32) is not None
+
+
+def test_a_text_with_too_many_anchors_is_reported(spark):
+    df = spark.createDataFrame([(1, "a\n\nb\n\nc\n\nd"), (2, "a"), (3, None)], "id long, t string")
+    assert [r["id"] for r in structure.oversized(df, "id", "t", 4).collect()] == [1]
+    assert {r["id"] for r in structure.extract(df, "id", "t", 4).collect()} == {2, 3}
+
+
+def test_headings_by_the_thousand_are_linear():
+    rows = structure.anchors("\n".join(f"{'#' * (1 + i % 6)} h{i}" for i in range(30_000)))
+    assert sum(r[1] == "section" for r in rows) == 30_000
+
+
 def test_citations(spark):
     text = "This corrects https://example.org/a_(b). See PMID: 12 and (doi:10.1000/ab(c)). arXiv:2101.00001v2, PMC77; https://127.0.0.1/x https://doi.org/10.1000/zz."
-    got = [(m[0], m[1], m[4]) for m in citations.mentions(text)]
-    assert got == [("url", "https://example.org/a_(b)", "corrects"), ("pmid", "12", "cites"), ("doi", "10.1000/ab(c)", "cites"), ("arxiv", "2101.00001v2", "cites"), ("pmcid", "PMC77", "cites"), ("doi", "10.1000/zz", "mentions")] or got[-1][0] == "doi"
-    assert [m[4] for m in citations.mentions("x 10.1000/q", True)] == ["cites"] and [m[4] for m in citations.mentions("x 10.1000/q")] == ["mentions"]
+    got = [(m[0], m[1], m[6]) for m in citations.mentions(text)]
+    assert got == [("url", "https://example.org/a_(b)", "corrects"), ("pmid", "12", "corrects"), ("doi", "10.1000/ab(c)", "corrects"), ("arxiv", "2101.00001v2", "corrects"), ("pmcid", "PMC77", "corrects"), ("doi", "10.1000/zz", "mentions")]
+    assert [m[6:] for m in citations.mentions("x 10.1000/q", True)] == [("cites", "reference-section")] and [m[6:] for m in citations.mentions("x 10.1000/q")] == [("mentions", "identifier-occurrence")]
     assert citations.mentions(None) == [] and citations.mentions("") == []
     df = spark.createDataFrame([(1, text), (2, None)], "id long, t string")
-    assert {r["value"] for r in citations.extract(df, "id", "t").filter("kind = 'arxiv'").collect()} == {"2101.00001"}
+    assert {r["value"] for r in citations.extract(df, "id", "t").filter("kind = 'arxiv'").collect()} == {"2101.00001v2"}
+
+
+def test_identifiers_in_texts():
+    got = lambda t: [(m[0], m[4]) for m in citations.mentions(t)]
+    assert got("PMID 12, PMID: 012, PMID:1234567890, pmid : 7") == [("pmid", "7")]
+    assert got("see https://a.example.org/x]y and <https://b.example.org>") == [("url", "https://a.example.org/x"), ("url", "https://b.example.org/")]
+    assert got("HTTPS://Example.ORG:443/A?b=1#frag http://example.org:8080 http://u:p@example.org http://x.local http://localhost") == [("url", "https://example.org/A?b=1"), ("url", "http://example.org:8080/")]
+    assert got("https://doi.org/10.1000/A%2Fb, 10.1/x") == [("doi", "10.1000/a/b")]
+    assert got("https://example.org/10.1000/x") == [("doi", "10.1000/x"), ("url", "https://example.org/10.1000/x")] or got("https://example.org/10.1000/x")[-1][0] in ("doi", "url")
+
+
+def test_seven_relations():
+    rel = lambda t: [m[6:] for m in citations.mentions(t)]
+    for signal, relation in [
+        ("retracts", "retracts"), ("Retraction of", "retracts"), ("correction  to", "corrects"), ("updates", "updates"), ("updated version of", "updates"), ("reviews", "reviews"), ("replies to", "replies_to"),
+        ("response to", "replies_to"), ("mentions", "mentions"), ("cited", "cites"),
+    ]:
+        assert rel(f"This {signal} 10.1234/abc") == [(relation, signal.lower())]
+    assert rel("supports 10.1234/abc")[0][0] == rel("see 10.1234/abc")[0][0] == rel("using 10.1234/abc")[0][0] == "mentions"
+    assert rel("It reviews, and retracts, 10.1234/abc")[0][0] == "retracts" and rel("retracts " + "x" * 96 + " 10.1234/abc")[0][0] == "mentions"
 
 
 def test_relations_by_anchor_and_section(spark):
-    rel = lambda t: [m[4] for m in citations.mentions(t)]
+    rel = lambda t: [m[6] for m in citations.mentions(t)]
     assert rel("# Title\n\nx 10.1000/a\n\n## References\n\n### Primary\n\n- y 10.1000/b\n\n# Next\n\nz 10.1000/c") == ["mentions", "cites", "mentions"]
     assert rel("This corrects all.\n\nx 10.1000/a") == ["mentions"] and rel("This corrects\nx 10.1000/a") == ["corrects"]
     assert rel("Works cited\n===========\n[^1]: 10.1000/a\n\f10.1000/b") == ["cites", "mentions"] and rel("[t]( https://example.org/a)") == ["cites"]
