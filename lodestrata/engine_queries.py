@@ -565,7 +565,7 @@ def _redact_sql() -> str:
     text, cols = "text", []
     for label, pattern, to in rules:
         # a mark after every other character, so that one between two matches serves both
-        marked = f"regexp_replace({text}, '([^{w} .()-])', '\\1' || chr(57344), 'g')" if label == "phone" else text
+        marked = f"regexp_replace({text}, '([^{w} .()+-])', '\\1' || chr(57344), 'g')" if label == "phone" else text
         cols.append(f"len(regexp_extract_all({marked}, '{pattern}'))::int n_{label}")
         text = f"replace(regexp_replace({marked}, '{pattern}', '{to}', 'g'), chr(57344), '')"
     return f"select id, {', '.join(cols)}, md5({text}) redacted_md5 from (select doc_id id, text from documents union all select * from {_PLANTED_SQL}) where text is not null"
