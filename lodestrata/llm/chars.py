@@ -6,9 +6,8 @@ from collections.abc import Iterator
 
 import numpy as np
 
-#: Multiplier of the polynomial hashes, odd, and its inverse modulo 2^64 (fixed values).
-BASE = np.uint64(0x9E3779B97F4A7C15)
-INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+#: Odd multipliers of the two halves of a stretch (fixed values).
+LEFT, RIGHT = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
 def codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -28,37 +27,42 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_POWERS: dict[str, np.ndarray] = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
-
-
-def _power(which: str, n: int) -> np.ndarray:
-    p = _POWERS[which]
-    if len(p) < n:
-        step = BASE if which == "up" else INVERSE
-        size = 1 << (n - 1).bit_length()
-        p = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size - 1, step, np.uint64)]), dtype=np.uint64)
-        if size <= 1 << 22:
-            _POWERS[which] = p
-    return p[:n]
-
-
 class Rolling:
-    """Hashes of any stretches of an array of integers, from one running sum."""
+    """Hashes of any stretches of an array of integers.
+
+    The hash of 2^j values is mixed from those of its halves, level by level for all places at once; a stretch of any other
+    length is the mix of the two stretches of 2^j that cover it. As every step mixes without linearity, no pattern of
+    values (as the Thue-Morse sequence does to polynomials modulo 2^64) makes unlike stretches hash alike.
+    """
 
     def __init__(self, values: np.ndarray):
-        v = mix(values.astype(np.uint64) + np.uint64(1))
-        self.sums = np.zeros(len(v) + 1, np.uint64)
-        np.cumsum(v * _power("up", len(v)), out=self.sums[1:])
-        self.down = _power("down", len(v) + 1)
+        self.levels = [mix(values.astype(np.uint64) + np.uint64(1))]
+
+    def _level(self, j: int) -> np.ndarray:
+        """Hash of the 2^j values that begin at each place."""
+        while len(self.levels) <= j:
+            h, half = self.levels[-1], 1 << (len(self.levels) - 1)
+            n = max(0, len(h) - half)
+            self.levels.append(mix(h[:n] * LEFT + h[half : half + n] * RIGHT))
+        return self.levels[j]
 
     def of(self, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
         """Hash of each stretch [start, stop); equal stretches of equal length hash alike wherever they stand."""
-        return mix((self.sums[stop] - self.sums[start]) * self.down[start] + (stop - start).astype(np.uint64))
+        size = stop - start
+        out = mix(np.zeros(len(size), np.uint64))
+        power = np.frexp(np.maximum(size, 1).astype(np.float64))[1] - 1  # floor of the logarithm
+        for j in np.unique(power[size > 0]):
+            at = np.flatnonzero((power == j) & (size > 0))
+            h = self._level(int(j))
+            out[at] = mix(h[start[at]] * LEFT + h[stop[at] - (1 << int(j))] + size[at].astype(np.uint64))
+        return out
 
     def windows(self, size: int) -> np.ndarray:
         """Hash of the stretch of `size` that begins at each position."""
-        n = max(0, len(self.sums) - size)
-        return mix((self.sums[size : size + n] - self.sums[:n]) * self.down[:n] + np.uint64(size))
+        n = max(0, len(self.levels[0]) - size + 1)
+        h = self._level(size.bit_length() - 1)
+        tail = size - (1 << (size.bit_length() - 1))
+        return mix(h[:n] * LEFT + h[tail : tail + n] + np.uint64(size))
 
 
 def pieces(texts: list[str], most: int = 1_000_000) -> Iterator[tuple[int, int]]:

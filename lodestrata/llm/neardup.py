@@ -7,11 +7,17 @@ with the probability of their (weighted) Jaccard similarity; and as cells are th
 coordinate has a dart, a text costs about K ln K darts however many elements it has, not K for each of them. BANDS of
 ROWS coordinates each make the keys on which texts are joined; pairs that meet are verified on their whole shingle sets.
 
-Equal texts are one text in the join, so a group of copies, however large, meets others once. Pairs between different
-texts are given for all their copies up to COPIES of either; beyond it a copy is linked to its text's first anchor, and
-that one to the other texts, so every link between different texts and every member is kept without squaring the group.
+Equal texts are one class in the join, so a group of copies, however large, meets others once. `classes` gives each record
+its class, the class's first record and its number of copies, `class_pairs` the pairs of first records: together they hold
+every link and every member at any size, in as many rows as there are records and links. `near_duplicates` lists pairs of
+records: all of them with `copies=None`; else, where a class has more than `copies` records, each of these is paired with
+the class's first, which alone carries the links to other classes; who wants them all joins with `classes`.
 
-Defined results: null ids, null, empty and short texts are no cases; repeated rows count once.
+Band keys that one text alone has, by far the most, are dropped where they are counted; of the rest, a key's texts are cut
+into blocks of HOT, and blocks meet blocks, so that a key that very many texts share is no single task.
+
+Defined results: null ids, null, empty and short texts are no cases; repeated rows count once. Classes are told apart by
+MD5, 128 bits.
 """
 
 from __future__ import annotations
@@ -20,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestrata.llm.chars import Rolling, codes, mix, pieces, words
@@ -28,8 +34,12 @@ from lodestrata.session import norm_id, spread
 
 #: A pair at the threshold of 0.6 meets in one band at least with probability 0.994, at 0.65 with 0.9996.
 BANDS, ROWS = 64, 5
-#: Copies of one text up to which their pairs are listed one by one.
-COPIES = 32
+#: Records of one text up to which p4_found lists their pairs one by one (near_duplicates: any number, or None for all).
+COPIES = 1000
+#: Texts of one band key in a block of the join.
+HOT = 2000
+#: Bytes of band keys in a task, about.
+TASK = 64 << 20
 
 _ODD = [np.uint64(x) for x in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)]  # fixed odd multipliers
 
@@ -72,7 +82,9 @@ def dart_minhash(elements: np.ndarray, begins: np.ndarray, k: int, weights: np.n
     left = np.where(np.bincount(owner, minlength=n) > 0, k, 0)  # coordinates without a dart
     base = owner * k
     rank = 0
-    while len(elements) and rank < 0xFFFF:
+    while len(elements):
+        if rank > 0xFFFF:
+            raise ValueError("weights too small: multiply all of them by one factor")
         h = mix(elements + np.uint64((rank + 1) * int(_ODD[3]) % (1 << 64)))
         at = base + ((h & np.uint64(0xFFFF)) * np.uint64(k) >> np.uint64(16)).astype(np.int64)
         fresh = sig[at] == never  # darts of earlier cells come before all of this one
@@ -105,7 +117,7 @@ def keyed(texts: DataFrame, least_words: int, size: int, bands: int, rows: int)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             # copies within a batch are keyed once: combined before the shuffle
-            cls, at = np.unique(b.column(0).to_numpy(), return_index=True)
+            cls, at = np.unique(np.array(b.column(0).to_pylist(), object), return_index=True)
             ts = b.column(1).take(pa.array(at)).to_pylist()
             for i, j in pieces(ts, 500_000):
                 g, begins, n = shingles(ts[i:j], size)
@@ -116,9 +128,9 @@ def keyed(texts: DataFrame, least_words: int, size: int, bands: int, rows: int)
                 begins = np.concatenate([[0], np.cumsum(np.diff(begins)[enough])])
                 key = band_keys(dart_minhash(g[keep], begins, bands * rows), bands, rows)
                 c = np.repeat(cls[i:j][enough], bands)
-                yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pa.array(c)], names=["key", "cls"])
+                yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pa.array(c, pa.binary())], names=["key", "cls"])
 
-    return spread(texts.select("cls", "text")).mapInArrow(run, "key long, cls long")
+    return spread(texts.select("cls", "text")).mapInArrow(run, "key long, cls binary")
 
 
 def verified(pairs: DataFrame, least: float, size: int) -> DataFrame:
@@ -141,44 +153,82 @@ def verified(pairs: DataFrame, least: float, size: int) -> DataFrame:
             keep = sim >= least - 1e-12
             yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(keep)), b.column(1).filter(pa.array(keep)), pa.array(sim[keep])], names=["a", "b", "similarity"])
 
-    return pairs.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, similarity double")
+    return pairs.select("a", "b", "text_a", "text_b").mapInArrow(run, "a binary, b binary, similarity double")
 
 
 def similar_texts(texts: DataFrame, least: float = 0.8, size: int = 5, least_words: int = 1, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """a, b (a < b), similarity: the pairs of different texts (cls, text; equal texts share cls and may repeat)."""
-    parts = texts.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    # one shuffle by key serves both the removal of repeats and the join
-    keys = keyed(texts, least_words, size, bands, rows).repartition(int(parts), "key").dropDuplicates(["key", "cls"])
-    met = keys.withColumnRenamed("cls", "a").join(keys.withColumnRenamed("cls", "b"), "key").filter("a < b").select("a", "b").distinct()
+    spark = texts.sparkSession
+    # as many tasks as the keys' bytes ask for, however few the session's default: an average text has some 250 bytes
+    read = int(texts._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-read * bands * 24 // 250 // TASK) if read < 1 << 60 else 0)
+    # one shuffle by key serves the removal of repeats and the counts; keys of one text go no further
+    keys = keyed(texts, least_words, size, bands, rows).repartition(parts, "key").dropDuplicates(["key", "cls"])
+    met = keys.withColumn("n", F.count("*").over(Window.partitionBy("key"))).filter("n > 1")
+    blocks = F.ceil(F.col("n") / HOT).cast("int")
+    a = met.select("key", F.col("cls").alias("a"), F.pmod(F.xxhash64("cls"), blocks).cast("int").alias("block"))
+    b = met.select("key", F.col("cls").alias("b"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"))
+    pairs = a.join(b, ["key", "block"]).filter("a < b").select("a", "b").distinct()
     one = texts.select("cls", "text").dropDuplicates(["cls"])
-    pairs = met.join(one.select(F.col("cls").alias("a"), F.col("text").alias("text_a")), "a").join(one.select(F.col("cls").alias("b"), F.col("text").alias("text_b")), "b")
+    pairs = pairs.join(one.select(F.col("cls").alias("a"), F.col("text").alias("text_a")), "a").join(one.select(F.col("cls").alias("b"), F.col("text").alias("text_b")), "b")
     return verified(pairs, least, size)
 
 
-def near_duplicates(rows_: DataFrame, key: str, text: str, least: float = 0.8, size: int = 5, least_words: int = 1) -> DataFrame:
-    """id_a, id_b (the smaller first), similarity: pairs of different records of which the texts are at least `least` alike."""
+def based(rows_: DataFrame, key: str, text: str, least_words: int = 1) -> DataFrame:
+    """id, text, cls of the rows that may be cases. A text of n words has at least 2n - 1 characters; classes are of equal texts."""
+    base = rows_.select(norm_id(key).alias("id"), F.col(text).alias("text")).filter(F.col("id").isNotNull() & (F.length("text") >= 2 * least_words - 1))
+    return base.withColumn("cls", F.unhex(F.md5("text")))
+
+
+def classes(base: DataFrame) -> DataFrame:
+    """cls, id of each record, with its class's first record and number of records."""
+    members = base.groupBy("cls", "id").agg(F.lit(1).alias("_")).select("cls", "id")
+    count = members.groupBy("cls").agg(F.count("*").alias("n_copies"), F.min("id").alias("first"))
+    return members.join(count, "cls")
+
+
+def class_pairs(base: DataFrame, least: float = 0.8, size: int = 5, least_words: int = 1) -> DataFrame:
+    """a, b (classes), id_a, id_b (their first records, the smaller first), similarity of every two classes that are alike."""
     from lodestrata.session import Scratch
 
-    # a text of n words has at least 2n - 1 characters; classes are of equal texts
-    base = rows_.select(norm_id(key).alias("id"), F.col(text).alias("text")).filter(F.col("id").isNotNull() & (F.length("text") >= 2 * least_words - 1))
-    base = base.withColumn("cls", F.xxhash64("text"))
+    pairs = Scratch(base.sparkSession, "neardup").table(similar_texts(base, least, size, least_words))
+    first = base.groupBy("cls").agg(F.min("id").alias("first"))
+    both = pairs.join(first.select(F.col("cls").alias("a"), F.col("first").alias("x")), "a").join(first.select(F.col("cls").alias("b"), F.col("first").alias("y")), "b")
+    return both.filter("x <> y").select("a", "b", F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"), "similarity")
+
+
+def near_duplicates(rows_: DataFrame, key: str, text: str, least: float = 0.8, size: int = 5, least_words: int = 1, copies: int | None = COPIES) -> DataFrame:
+    """id_a, id_b (the smaller first), similarity: pairs of different records of which the texts are at least `least` alike.
+
+    copies: records of one text beyond which they are paired with the first alone; None lists every pair.
+    """
+    from lodestrata.session import Scratch
+
+    base = based(rows_, key, text, least_words)
     scratch = Scratch(rows_.sparkSession, "neardup")
     pairs = scratch.table(similar_texts(base, least, size, least_words))
-    members = base.groupBy("cls", "id").agg(F.lit(1).alias("n")).select("cls", "id")
-    count = members.groupBy("cls").agg(F.count("*").alias("n"), F.min("id").alias("first"))
-    linked = members.join(count, "cls").filter((F.col("n") <= COPIES) | (F.col("id") == F.col("first"))).select("cls", "id")
+    members = classes(base)
+    few = F.lit(True) if copies is None else F.col("n_copies") <= copies
+    linked = members.filter(few | (F.col("id") == F.col("first"))).select("cls", "id")
     a, b = linked.select(F.col("cls").alias("a"), F.col("id").alias("x")), linked.select(F.col("cls").alias("b"), F.col("id").alias("y"))
     across = pairs.join(a, "a").join(b, "b").select("x", "y", "similarity")
     # equal texts: all pairs of few copies, else each with the first
-    several = count.filter("n > 1")
-    few = members.join(several.filter(F.col("n") <= COPIES), "cls")
-    many = members.join(several.filter(F.col("n") > COPIES), "cls").filter(F.col("id") != F.col("first")).select(F.col("first").alias("x"), F.col("id").alias("y"), "cls")
-    within = few.select("cls", F.col("id").alias("x")).join(few.select("cls", F.col("id").alias("y")), "cls").filter("x < y").select("x", "y", "cls").unionByName(many)
-    enough = _enough(base.join(several.select("cls"), "cls", "left_semi").select("cls", "text").dropDuplicates(["cls"]), least_words)
+    several = members.filter("n_copies > 1")
+    left = several.filter(few).select("cls", F.col("id").alias("x"))
+    many = several.filter(~few & (F.col("id") != F.col("first"))).select(F.col("first").alias("x"), F.col("id").alias("y"), "cls")
+    within = left.join(left.withColumnRenamed("x", "y"), "cls").filter("x < y").select("x", "y", "cls").unionByName(many)
+    enough = _enough(base.join(several.select("cls").distinct(), "cls", "left_semi").select("cls", "text").dropDuplicates(["cls"]), least_words)
     equal = within.join(enough, "cls", "left_semi").select("x", "y", F.lit(1.0).alias("similarity"))
     return across.unionByName(equal).select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"), "similarity").filter("id_a < id_b").distinct()
 
 
+def members(rows_: DataFrame, key: str, text: str, least_words: int = 1) -> DataFrame:
+    """id, class_id (the class's first record), n_copies of every record with at least `least_words` words."""
+    base = based(rows_, key, text, least_words)
+    enough = _enough(base.select("cls", "text").dropDuplicates(["cls"]), least_words)
+    return classes(base).join(enough, "cls", "left_semi").select("id", F.col("first").alias("class_id"), "n_copies")
+
+
 def _enough(texts: DataFrame, least_words: int) -> DataFrame:
     """cls of the texts of at least so many words."""
 
@@ -188,4 +238,4 @@ def _enough(texts: DataFrame, least_words: int) -> DataFrame:
             n = np.bincount(words(code, off)[2], minlength=b.num_rows)
             yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(n >= least_words))], names=["cls"])
 
-    return texts.select("cls", "text").mapInArrow(run, "cls long")
+    return texts.select("cls", "text").mapInArrow(run, "cls binary")

@@ -18,13 +18,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestrata.llm.chars import Rolling, codes, pieces, words
+from lodestrata.llm.chars import Rolling, codes, mix, pieces, words
 from lodestrata.session import spread
 
 STATES = ("prose", "list", "table", "junk")
 #: Labelled documents the model is trained on, at most: those of least hash, so a sample alike at every size.
 LABELLED = 2000
-#: Lines of one labelled document used in training, at most.
+#: Lines of one labelled document used in training, at most: as many in a row, from a place that its id's hash gives.
 TRAIN_LINES = 400
 #: A line is read in stretches of about so many characters, cut at blanks.
 STRETCH = 400
@@ -96,7 +96,10 @@ def _bins(x: np.ndarray, *edges: float) -> np.ndarray:
 
 
 def lines(texts: list[str]) -> dict[str, np.ndarray]:
-    """Of each non-blank line or stretch: doc (its text), chars (non-blank characters), the counts behind the statistics, and `f`, its features."""
+    """Of each non-blank line or stretch: doc (its text), chars (non-blank characters), the counts behind the statistics, and `f`, its features.
+
+    A long line makes several rows; `runs` is 1 in its first and `stops` may be 1 in its last, so that both sum to lines as they stand in the text.
+    """
     code, off = codes(texts)
     cls = _table("classes", _classes)[code]
     n = len(code)
@@ -105,6 +108,7 @@ def lines(texts: list[str]) -> dict[str, np.ndarray]:
     cut[off] = True
     cut[1:] |= brk
     begin = np.flatnonzero(cut[:-1])
+    physical = begin
     # stretches of long lines: cut at the first blank after every STRETCH characters
     size = np.diff(np.append(begin, n))
     if (size > 2 * STRETCH).any():
@@ -199,8 +203,10 @@ def lines(texts: list[str]) -> dict[str, np.ndarray]:
         ],
         axis=1,
     ).astype(np.uint8)
-    stops = (zk == 7).astype(np.int64)
-    return {"doc": doc, "chars": chars, "f": f, "words": nwords, "letters": wordchars, "symbols": symbols + odd + seps, "commons": commons, "stops": stops, "runs": np.ones(m, np.int64)}
+    line = np.searchsorted(physical, begin, "right")
+    fresh = np.append(True, line[1:] != line[:-1])
+    stops = ((zk == 7) & np.append(fresh[1:], True)).astype(np.int64)
+    return {"doc": doc, "chars": chars, "f": f, "words": nwords, "letters": wordchars, "symbols": symbols + odd + seps, "commons": commons, "stops": stops, "runs": fresh.astype(np.int64)}
 
 
 class Model:
@@ -311,6 +317,13 @@ def _forward_backward(s: np.ndarray, start: np.ndarray, step: np.ndarray) -> tup
     return g, x
 
 
+def _sampled(f: np.ndarray, doc_id: int) -> np.ndarray:
+    """TRAIN_LINES lines in a row, from a place that depends on the id alone; all of a shorter document."""
+    spare = len(f) - TRAIN_LINES
+    at = int(mix(np.array([doc_id], np.int64).view(np.uint64))[0] % np.uint64(spare + 1)) if spare > 0 else 0
+    return f[at : at + TRAIN_LINES]
+
+
 def fit(documents: DataFrame, labels: DataFrame, limit: int = LABELLED) -> Model:
     """Trains on at most `limit` labelled documents of `documents` (doc_id, text); features are computed by the executors."""
     chosen = labels.filter(F.col("text_kind").isin(*STATES)).dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
@@ -321,7 +334,8 @@ def fit(documents: DataFrame, labels: DataFrame, limit: int = LABELLED) -> Model
             for i, j in pieces(texts):
                 x = lines(texts[i:j])
                 edge = np.searchsorted(x["doc"], np.arange(j - i + 1))
-                yield pd.DataFrame({"doc_id": b["doc_id"].iloc[i:j], "kind": b["text_kind"].iloc[i:j], "f": [x["f"][edge[k] : edge[k + 1]][:TRAIN_LINES].tobytes() for k in range(j - i)]})
+                part = [_sampled(x["f"][edge[k] : edge[k + 1]], int(b["doc_id"].iloc[i + k])).tobytes() for k in range(j - i)]
+                yield pd.DataFrame({"doc_id": b["doc_id"].iloc[i:j], "kind": b["text_kind"].iloc[i:j], "f": part})
 
     rows = documents.select("doc_id", "text").join(F.broadcast(chosen.select("doc_id", "text_kind")), "doc_id").mapInPandas(features, "doc_id long, kind string, f binary")
     found = sorted((r["doc_id"], STATES.index(r["kind"]), bytes(r["f"])) for r in rows.toLocalIterator())

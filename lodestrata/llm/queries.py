@@ -82,6 +82,20 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return _near(spark, d).select(F.col("id_a").alias("anchor_id_a"), F.col("id_b").alias("anchor_id_b"))
 
 
+@query()
+def p4_members(spark: SparkSession, d: str) -> DataFrame:
+    """Each anchor with the class of equal texts it is in: class_id is the class's first anchor. With p4_class_pairs it holds every link, whatever the number of copies."""
+    m = neardup.members(load(spark, d, "library_anchor"), "anchor_id", "exact_text", least_words=25)
+    return m.select(F.col("id").alias("anchor_id"), "class_id", "n_copies")
+
+
+@query()
+def p4_class_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of classes of equal texts that are nearly the same, each by its first anchor, with their similarity."""
+    base = neardup.based(load(spark, d, "library_anchor"), "anchor_id", "exact_text", 25)
+    return neardup.class_pairs(base, 0.6, 3, 25).select(F.col("id_a").alias("class_a"), F.col("id_b").alias("class_b"), F.round("similarity", 6).alias("similarity"))
+
+
 # ---- 5: names ----
 
 

@@ -14,12 +14,15 @@ gaps comes from a Fenwick tree over the partner's positions, and chains are take
 until every match is in one. Chains are the fuzzy passages; aligned, they get an identity. The exact spans are the
 matched stretches of the chains, which together cover just the characters in question.
 
+Equality is by hashes of 64 bits within one seed, another 64: unequal contents or windows would have to agree in both.
+
 Defined results: a null source counts as a source of its own; null, empty and short texts have no spans; repeated rows
 count once; ids are compared trimmed and in lower case.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,8 +36,10 @@ from lodestrata.session import Scratch, norm_id, spread
 
 #: Length of a k-mer; a window of `span` characters holds span - K + 1 of them.
 K = 64
-#: Cost of a gap between two matches of a chain, per character of the wider side, against a gain of 1 per matched character.
+#: Cost of a gap between two matches of a chain, per character skipped (of both sides the average), against a gain of 1 per matched character.
 GAP = 0.5
+#: Characters of the pieces that matches are chained in: what an overlap of two matches may cost a chain at most.
+PIECE = 16
 
 
 def sliding_min(x: np.ndarray, size: int) -> np.ndarray:
@@ -127,8 +132,9 @@ def matches(records: DataFrame, span: int, scratch: Scratch, k: int = K) -> Data
     windows = _window_table(torn.select("seed", "content", "lo", "hi", "one.rec", "one.start", "one.stop").join(texts, "rec"), span)
     windows = scratch.table(windows)
     shift = lambda side: F.struct(F.col(f"{side}.src").alias("src"), F.col(f"{side}.rec").alias("rec"), (F.col(f"{side}.start") + F.col("offset")).alias("start"))
-    grouped = windows.groupBy("window").agg(F.min(shift("lo")).alias("a"), F.max(shift("hi")).alias("z")).filter("a.src <> z.src")
-    found = windows.filter("lo.src = hi.src").join(grouped, "window").select("seed", "content", F.col("lo.src").alias("src"), "offset", "a", "z").withColumn("p", other("src", "a", "z"))
+    # a window's seed is a function of its content: with it in the key, only windows of one seed could be taken for one another
+    grouped = windows.groupBy("seed", "window").agg(F.min(shift("lo")).alias("a"), F.max(shift("hi")).alias("z")).filter("a.src <> z.src")
+    found = windows.filter("lo.src = hi.src").join(grouped, ["seed", "window"]).select("seed", "content", F.col("lo.src").alias("src"), "offset", "a", "z").withColumn("p", other("src", "a", "z"))
     # windows in a row on one diagonal are one match
     step = found.select("seed", "content", "offset", F.col("p.rec").alias("partner"), (F.col("p.start") - F.col("offset")).alias("shift"))
     stretches = step.groupBy("seed", "content", "partner", "shift").agg(F.array_sort(F.collect_list("offset")).alias("at"))
@@ -172,7 +178,10 @@ class Fenwick:
         return out
 
 
-def merged(rows: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+Match = tuple[int, int, int]
+
+
+def merged(rows: list[Match]) -> list[Match]:
     """Matches (start, partner start, length) that touch or overlap on one diagonal, joined."""
     out: list[list[int]] = []
     for a, b, n in sorted(rows, key=lambda r: (r[1] - r[0], r[0])):
@@ -183,45 +192,53 @@ def merged(rows: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     return sorted((a, b, n) for a, b, n in out)
 
 
-def chain(rows: list[tuple[int, int, int]], gap: float = GAP) -> list[tuple[float, list[tuple[int, int, int]]]]:
-    """Chains of matches (start, partner start, length), best first; every match is in one chain.
+def cut(rows: list[Match], size: int) -> list[Match]:
+    """Matches in pieces of at most `size` characters, in order of start."""
+    return sorted((a + i, b + i, min(size, n - i)) for a, b, n in rows for i in range(0, n, size))
+
+
+def chain(rows: list[Match], gap: float = GAP, piece: int = PIECE) -> list[tuple[float, list[Match]]]:
+    """Chains of matches (start, partner start, length), best first.
 
-    In a chain the matches ascend on both sides; a match may overlap its predecessor, for which its gain is less. The cost
-    of a gap is `gap` times the characters skipped on both sides together, so that the best predecessor is the
-    greatest of score + gap * (end + partner end) among those that begin before it on both sides.
+    Matches are cut into pieces of `piece` characters, and a chain is of pieces that follow one another without overlap on
+    both sides; so where two matches overlap, a chain may leave the one for the other at any piece. A piece gains its
+    length, a gap costs `gap` for each character skipped, both sides averaged. As that cost is linear in the ends, the
+    best predecessor is the greatest score + gap * (end + partner end) / 2 among the pieces that end before it on both
+    sides: those that end in the record are put into a Fenwick tree over their ends in the partner as the sweep passes
+    them. The first chain is the best of all; the next are taken off the same tree of predecessors, down to pieces that
+    are taken already, so that every piece is in one chain and the whole costs one sweep. In a chain, pieces that touch
+    on one diagonal are one match again.
     """
-    left = merged(rows)
-    chains = []
-    while left:
-        ends = sorted({b for _, b, _ in left})
-        index = {b: i for i, b in enumerate(ends)}
-        tree = Fenwick(len(ends))
-        score, before = [0.0] * len(left), [-1] * len(left)
-        waiting: list[int] = []
-        for i, (a, b, n) in enumerate(left):
-            while waiting and left[waiting[0]][0] < a:  # only matches that begin earlier in the record
-                j = waiting.pop(0)
-                x, y, m = left[j]
-                tree.put(index[y], (score[j] + gap * (x + m + y + m) / 2, j))
-            score[i] = float(n)
-            value, j = tree.get(index[b] - 1) if index[b] else (-1e18, -1)
-            if j >= 0:
-                x, y, m = left[j]
-                over = max(0, x + m - a, y + m - b)
-                skipped = max(0, a - x - m) + max(0, b - y - m)
-                total = score[j] + n - over - gap * skipped / 2
-                if total > score[i]:
-                    score[i], before[i] = total, j
-            waiting.append(i)
-        i = max(range(len(left)), key=lambda q: (score[q], -q))
-        best, picked = score[i], []
-        while i >= 0:
-            picked.append(i)
-            i = before[i]
-        chains.append((best, [left[q] for q in reversed(picked)]))
-        gone = set(picked)
-        left = [r for q, r in enumerate(left) if q not in gone]
-    return chains
+    parts = cut(merged(rows), piece)
+    ends = sorted({b + n for _, b, n in parts})
+    place = {e: i for i, e in enumerate(ends)}
+    tree = Fenwick(len(ends))
+    score, before = [0.0] * len(parts), [-1] * len(parts)
+    by_end = sorted(range(len(parts)), key=lambda i: parts[i][0] + parts[i][2])
+    done = 0
+    for i, (a, b, n) in enumerate(parts):
+        while done < len(parts) and sum(parts[by_end[done]][::2]) <= a:
+            j = by_end[done]
+            x, y, m = parts[j]
+            tree.put(place[y + m], (score[j] + gap * (x + m + y + m) / 2, j))
+            done += 1
+        score[i] = float(n)
+        to = bisect_right(ends, b) - 1
+        value, j = tree.get(to) if to >= 0 else (-1e18, -1)
+        if j >= 0 and value - gap * (a + b) / 2 > 0:
+            score[i], before[i] = n + value - gap * (a + b) / 2, j
+    taken, chains = [False] * len(parts), []
+    for i in sorted(range(len(parts)), key=lambda q: (-score[q], q)):
+        if taken[i]:
+            continue
+        picked, j = [], i
+        while j >= 0 and not taken[j]:
+            taken[j] = True
+            picked.append(parts[j])
+            j = before[j]
+        earned = score[i] - (score[j] if j >= 0 else 0.0)
+        chains.append((earned, merged(picked)))
+    return sorted(chains, key=lambda c: -c[0])
 
 
 def _grouped(found: DataFrame) -> DataFrame:
@@ -302,8 +319,8 @@ def passages(chained: DataFrame, texts: DataFrame) -> DataFrame:
     """The chains with `identity`, the share of characters that agree in the alignment of both passages; texts: rec, text."""
     a = texts.select("rec", F.col("text").alias("text_a"))
     b = texts.select(F.col("rec").alias("partner"), F.col("text").alias("text_b"))
-    cut = lambda t, i, j: F.expr(f"substring({t}, cast({i} + 1 as int), cast({j} - {i} as int))")
-    both = chained.join(a, "rec").join(b, "partner").withColumn("x", cut("text_a", "start", "stop")).withColumn("y", cut("text_b", "partner_start", "partner_stop")).drop("text_a", "text_b")
+    part = lambda t, i, j: F.expr(f"substring({t}, cast({i} + 1 as int), cast({j} - {i} as int))")
+    both = chained.join(a, "rec").join(b, "partner").withColumn("x", part("text_a", "start", "stop")).withColumn("y", part("text_b", "partner_start", "partner_stop")).drop("text_a", "text_b")
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in batches:

@@ -45,13 +45,36 @@ def test_pairs_of_edited_texts(spark):
     assert got == brute(rows, 0.6, 3, 25)
 
 
-def test_large_groups_of_copies_stay_linked_without_all_pairs(spark):
+def test_large_groups_of_copies_are_whole_by_classes_and_by_pairs(spark):
     base = texts(1, 7)[0]
     edited = base + " one more"
-    rows = [(f"c{i:03d}", base) for i in range(100)] + [("e", edited)]
+    for n in (33, 320):
+        rows = [(f"c{i:03d}", base) for i in range(n)] + [("e", edited), ("f", edited), ("g", "a b c")]
+        df = spark.createDataFrame(rows, "anchor_id string, exact_text string")
+        got = {(r["id"], r["class_id"], r["n_copies"]) for r in N.members(df, "anchor_id", "exact_text", 25).collect()}
+        assert got == {(f"c{i:03d}", "c000", n) for i in range(n)} | {("e", "e", 2), ("f", "e", 2)}
+        pairs = N.class_pairs(N.based(df, "anchor_id", "exact_text", 25), 0.6, 3, 25).collect()
+        assert [(r["id_a"], r["id_b"]) for r in pairs] == [("c000", "e")]
+        every = {(r["id_a"], r["id_b"]) for r in N.near_duplicates(df, "anchor_id", "exact_text", 0.6, 3, 25, copies=None).collect()}
+        ids = [k for k, t in rows if t != "a b c"]
+        assert every == {(a, b) for a in ids for b in ids if a < b}
+    few = {(r["id_a"], r["id_b"]) for r in N.near_duplicates(df, "anchor_id", "exact_text", 0.6, 3, 25, copies=32).collect()}
+    assert few == {("c000", f"c{i:03d}") for i in range(1, 320)} | {("c000", "e"), ("c000", "f"), ("e", "f")}
+
+
+def test_hot_keys_meet_in_blocks(spark, monkeypatch):
+    rows = [(f"A{i}", t) for i, t in enumerate(texts(30, 5))]
     df = spark.createDataFrame(rows, "anchor_id string, exact_text string")
-    got = {(r["id_a"], r["id_b"]) for r in N.near_duplicates(df, "anchor_id", "exact_text", 0.6, 3, 25).collect()}
-    assert got == {("c000", f"c{i:03d}") for i in range(1, 100)} | {("c000", "e")}
+    want = brute(rows, 0.6, 3, 25)
+    monkeypatch.setattr(N, "HOT", 1)
+    assert {(r["id_a"], r["id_b"]) for r in N.near_duplicates(df, "anchor_id", "exact_text", 0.6, 3, 25).collect()} == want
+
+
+def test_weights_too_light_for_darts_are_refused():
+    import pytest
+
+    with pytest.raises(ValueError):
+        N.dart_minhash(np.array([5], np.uint64), np.array([0, 1]), 64, np.array([1e-5]))
 
 
 def test_empty_table(spark):

@@ -49,6 +49,13 @@ def test_counts_of_a_known_text():
     assert abs(r["common_word_share"] - 3 / 7) < 1e-9
 
 
+def test_statistics_count_lines_as_they_stand():
+    one = " ".join(["word"] * 576) + "."
+    r = Q._statistics(np.array([1, 2]), [one, one + "\nand\r\n\n" + one], Q.train([]))
+    assert len(Q.lines([one])["doc"]) > 2
+    assert r["n_lines"].tolist() == [1, 3] and r["stop_line_share"].tolist() == [1.0, 2 / 3]
+
+
 def test_lines_of_long_texts_are_cut_at_blanks_only():
     words = ["word"] * 5000
     x = Q.lines([" ".join(words), "short"])

@@ -1,6 +1,5 @@
 """Shared spans against a dictionary of all windows; chains against an exhaustive search."""
 
-import itertools
 import random
 
 from hypothesis import given, settings
@@ -75,25 +74,66 @@ def test_empty_table(spark):
 match = st.tuples(st.integers(0, 60), st.integers(0, 60), st.integers(3, 15))
 
 
-@settings(max_examples=200, deadline=None)
-@given(st.lists(match, min_size=1, max_size=7))
-def test_every_match_is_in_a_chain_and_the_best_chain_is_best(rows):
-    left = S.merged(rows)
-    chains = S.chain(rows)
-    assert sorted(m for _, c in chains for m in c) == left
-
-    def score(c):
-        total = float(c[0][2])
-        for (x, y, m), (a, b, n) in zip(c, c[1:]):
-            if a <= x or b <= y:
-                return None
-            total += n - max(0, x + m - a, y + m - b) - S.GAP * (max(0, a - x - m) + max(0, b - y - m)) / 2
-        return total
-
-    best = max(s for k in range(1, len(left) + 1) for c in itertools.combinations(left, k) if (s := score(c)) is not None)
-    assert chains[0][0] <= best + 1e-9
-    if all(a[0] + a[2] <= b[0] and (a[1] + a[2] <= b[1] or b[1] + b[2] <= a[1]) for a, b in itertools.combinations(left, 2)):
-        assert abs(chains[0][0] - best) < 1e-9  # without overlaps the tree's order is exact
+def value(c):
+    """Score of pieces in a row, None if they overlap on a side."""
+    total = float(c[0][2])
+    for (x, y, m), (a, b, n) in zip(c, c[1:]):
+        if a < x + m or b < y + m:
+            return None
+        total += n - S.GAP * (a - x - m + b - y - m) / 2
+    return total
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(match, min_size=1, max_size=5))
+def test_every_piece_is_in_a_chain_and_the_best_chain_is_best(rows):
+    parts = S.cut(S.merged(rows), 5)
+    chains = S.chain(rows, piece=5)
+    cover = lambda ms: sorted({(a + i, b + i) for a, b, n in ms for i in range(n)})
+    assert cover(m for _, c in chains for m in c) == cover(S.merged(rows))
+    best = [float(p[2]) for p in parts]  # of chains that end in each piece, by trying every predecessor
+    for i, p in enumerate(parts):
+        for j, q in enumerate(parts):
+            if (v := value([q, p])) is not None:
+                best[i] = max(best[i], best[j] + v - q[2])
+    assert abs(chains[0][0] - max(best)) < 1e-9
+    for earned, c in chains:
+        assert value(c) is not None and earned <= value(c) + 1e-9
+
+
+def test_a_chain_across_overlapping_matches_is_the_best():
+    chains = S.chain([(66, 41, 181), (136, 173, 202), (551, 218, 228)])
+    assert chains[0][0] >= 228 and value(chains[0][1]) is not None
+    parts = S.cut(S.merged([(66, 41, 181), (136, 173, 202), (551, 218, 228)]), S.PIECE)
+    best = [float(p[2]) for p in parts]
+    for i, p in enumerate(parts):
+        for j in range(len(parts)):
+            if (v := value([parts[j], p])) is not None:
+                best[i] = max(best[i], best[j] + v - parts[j][2])
+    assert abs(chains[0][0] - max(best)) < 1e-9
+
+
+def test_many_matches_are_chained_in_one_sweep():
+    r = random.Random(1)
+    rows = [(r.randrange(10**6), r.randrange(10**6), 200) for _ in range(4000)]
+    assert sum(n for _, c in S.chain(rows) for _, _, n in c) >= 200
+
+
+def test_patterned_texts_do_not_hash_alike():
+    import numpy as np
+
+    from lodestrata.llm.chars import Rolling
+
+    for n in (256, 1024, 4096):
+        bits = np.array([bin(i).count("1") & 1 for i in range(n)])
+        both = np.concatenate([bits, 1 - bits]).astype(np.uint32)
+        h = Rolling(both)
+        assert h.windows(n)[0] != h.windows(n)[n] and h.of(np.array([0]), np.array([n]))[0] != h.of(np.array([n]), np.array([2 * n]))[0]
+    x = np.arange(1000, dtype=np.uint32) % 7
+    h = Rolling(x)
+    a, z = np.array([0, 7, 700, 3, 5]), np.array([100, 107, 800, 103, 5])
+    got = h.of(a, z)
+    assert got[0] == got[1] == got[2] != got[3] and h.windows(100)[0] == h.windows(100)[7] != h.windows(100)[1] and len(h.windows(1000)) == 1 and len(h.windows(1001)) == 0
 
 
 def test_merging_on_a_diagonal_and_edit_distance():
