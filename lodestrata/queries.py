@@ -180,7 +180,7 @@ def p6_paths(spark: SparkSession, d: str) -> DataFrame:
 @query(_TREE + "select up.node ancestor_id, up.id descendant_id, up.k::int distance from up join top on top.id = up.id where up.k > 0")
 def p6_descendants(spark: SparkSession, d: str) -> DataFrame:
     """Every ancestor-descendant pair with its distance."""
-    t = H.descendants(H.hierarchy(load(spark, d, "concept_parent")))
+    t = H.descendants(load(spark, d, "concept_parent"))
     return t.select(F.col("ancestor").alias("ancestor_id"), F.col("descendant").alias("descendant_id"), F.col("distance").cast("int").alias("distance"))
 
 

@@ -36,8 +36,9 @@ def test_random_forest_with_cycles(spark):
     assert sizes["d0"] == 70 and sizes["n0"] == 120 and sizes["x"] is None
     heights = {row["node"]: row["height"] for row in t.collect()}
     assert heights["d0"] == 69 and heights["d69"] == 0
-    pairs_of = {(row["ancestor"], row["descendant"]): row["distance"] for row in H.descendants(t).collect()}
-    assert pairs_of[("d0", "d69")] == 69 and ("x", "y") not in pairs_of
+    rows = [(row["ancestor"], row["descendant"], row["distance"]) for row in H.descendants(build(spark, pairs)).collect()]
+    paths = [p for _, _, p in walk(pairs).values() if p]
+    assert sorted(rows) == sorted((p[i], p[-1], len(p) - 1 - i) for p in paths for i in range(len(p) - 1))
 
 
 def test_spellings_nulls_repeats_and_conflicts(spark):
@@ -54,6 +55,14 @@ def test_empty_only_cycles_and_clashing_columns(spark):
     assert {(r["node"], r["root"]) for r in H.hierarchy(clash).collect()} == {("a", "b"), ("b", "b")}
 
 
+def test_paths_are_assigned_in_reverse_order_of_peeling(spark):
+    # a short branch and a tall one under one root; a way up that leaves its round at different heights
+    pairs = [(f"t{i}", f"t{i - 1}") for i in range(1, 40)] + [("s1", "t0"), ("s2", "s1"), ("u1", "t20"), ("u2", "u1"), ("q", "c1"), ("c1", "c2"), ("c2", "c1")] + [(f"q{i}", f"q{i - 1}" if i else "q") for i in range(20)]
+    got = {row["node"]: (row["root"], row["depth"], row["path"]) for row in H.hierarchy(build(spark, pairs)).collect()}
+    assert got == walk(pairs)
+    assert H.descendants(build(spark, pairs).limit(0)).count() == 0 and H.descendants(build(spark, [("a", "b"), ("b", "a")])).count() == 0
+
+
 def test_one_parent_of_a_third_of_all(spark):
     pairs = [(f"c{i}", "hub") for i in range(3000)] + [("hub", "top")]
     t = H.hierarchy(build(spark, pairs), paths=False)
