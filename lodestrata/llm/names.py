@@ -1,14 +1,22 @@
-"""Variant spellings of names: a prefix-filtered set-similarity join on q-grams, verified by soft weighted token similarity.
+"""Variant spellings of names: a prefix-filtered set-similarity join on token q-grams, verified by soft weighted token similarity.
 
-A spelling is read into a core (a surname, or the place or proper word of an organisation), further tokens, full or
-abbreviated, and its kind. In which order given name and surname stand is told by commas, initials and capitals, and else
-by a lexicon of given names gathered from the spellings where these tell. Distinct cores, the rare tokens, are joined
-by q-gram similarity: q-grams in ascending order of frequency, only the prefix that any pair at the threshold must share,
-within lengths that allow it. Pairs of spellings with similar cores and agreeing first letters are then verified token
-by token, rare tokens counting more; what two spellings link to a third alike is linked too.
+Reading. A spelling is read into tokens, full or abbreviated, and its kind. Every token gets a weight by the inverse of the
+number of spellings that hold it, so that rare tokens count more. One of a person's tokens is the core (the surname): commas,
+initials and capitals tell which, and else a table of how often each token stands as a given name where these tell; of an
+organisation it is the rarest word. Spellings with the same reading are one signature, however many there are.
+
+Joining. Cores, and all words of organisations, are joined by their sets of q-grams: in ascending order of frequency, only
+the prefix that any pair at the threshold must share, within lengths that allow it. Two signatures meet if their cores, or
+one of the rarest words of an organisation and any of the other's, are such a pair and their first further tokens may agree: these are keyed by every form of the name with and without each single letter (so that
+one edit anywhere, the first letter included, leaves a key in common), by their beginning for short forms, and by the
+first letter alone where one of them is abbreviated.
+
+Verifying. The score of two signatures is the mean of their tokens' similarities, each weighted by the lesser weight of
+the two, a contradiction counting against; it must reach LEAST. What two signatures link to a third alike is linked too, if
+they score as much with one edit more allowed.
 
 Defined results: null and blank names are no spellings; a name without letters matches nothing; repeated rows are one
-spelling; a name that is a single token is its own core without further tokens.
+spelling; a name that is a single token is its own core without further tokens, and means the same as others of that reading.
 """
 
 from __future__ import annotations
@@ -26,8 +34,12 @@ from lodestrata.session import BLANKS
 #: Least Jaccard similarity of the q-gram sets of two cores.
 THRESHOLD = 0.4
 Q = 2
-#: Given names in the lexicon, at most: those seen most often.
-LEXICON = 50_000
+#: Least score of two signatures that mean the same, of persons and of organisations.
+LEAST = {"person": 0.6, "organisation": 0.75}
+#: What a contradiction counts, against a similarity of 0 to 1.
+AGAINST = -2.0
+#: Edits allowed in a core and what it is worth with none, one or two.
+CORE = (1.0, 0.85, 0.7)
 
 #: Titles and degrees, name particles, words of organisations with their abbreviations.
 TITLES = frozenset("dr prof professor mrs phd msc mph dphil sir dame".split())
@@ -130,6 +142,7 @@ def read(name: str) -> dict | None:
     return {"kind": "person", "tokens": tokens, "core": core if full else 0}
 
 
+_ORG_WORDS = frozenset(ORGANISATION.values())
 _ORG_FULL = sorted({v for v in ORGANISATION.values() if len(v) > 6})
 
 
@@ -140,14 +153,17 @@ def _org(p: str) -> str | None:
     return next((w for w in _ORG_FULL if abs(len(w) - len(p)) < 3 and len(p) > 5 and close(w, p, 2)), None) if len(p) > 5 else None
 
 
-def settle(parsed: dict, given: dict[str, int] | frozenset) -> tuple[str, list[tuple[str, str]]]:
-    """Core and the other tokens in order; where the form does not tell, the core is the last full token that is no given name."""
-    tokens, core = parsed["tokens"], parsed["core"]
-    if core < 0:
-        full = [i for i, (_, s) in enumerate(tokens) if s == "full"]
-        rare = [i for i in full if tokens[i][0] not in given]
-        core = rare[-1] if rare else full[-1]
-    return tokens[core][0], [t for i, t in enumerate(tokens) if i != core]
+def core_of(parsed: dict, given: list[bool], weights: list[float]) -> int:
+    """Position of the core: as the form tells; else of a person's full tokens the last that is no given name, of an organisation's words
+    the rarest, words for kinds of organisations last, the smallest of equally rare ones."""
+    if parsed["kind"] == "organisation":
+        words = [t for t, _ in parsed["tokens"]]
+        return min(range(len(words)), key=lambda i: (words[i] in _ORG_WORDS, -round(weights[i], 9), words[i]))
+    if parsed["core"] >= 0:
+        return parsed["core"]
+    full = [i for i, (_, s) in enumerate(parsed["tokens"]) if s == "full"]
+    rare = [i for i in full if not given[i]]
+    return rare[-1] if rare else full[-1]
 
 
 def forms(token: str) -> set[str]:
@@ -155,12 +171,40 @@ def forms(token: str) -> set[str]:
     return {token, *NICKNAMES[token].split("|")} if token in NICKNAMES else {token}
 
 
-def first_letters(kind: str, rest: list[tuple[str, str]]) -> list[str]:
-    """Letters under which a spelling meets others of its core: of its first further token and of what that is a familiar form of; '' if there is none."""
+def heads(kind: str, core: str, rest: list[tuple[str, str]], weights: list[float]) -> tuple[list[str], list[str]]:
+    """Tokens by which a signature looks for others, and by which it is found: a person's core; of an organisation the rarest
+    words, so many that the others weigh too little to reach LEAST without one of them, and all words."""
+    if kind == "person":
+        return [core], [core]
+    words = sorted(zip(weights, [core, *(t for t, _ in rest)]), reverse=True)
+    spare, asks = sum(weights) * (1 - LEAST[kind]), []
+    for w, t in words:
+        asks.append(t)
+        spare -= w
+        if spare < 0:
+            break
+    return asks, sorted({t for _, t in words})
+
+
+def typo_keys(token: str) -> set[str]:
+    """The token and what it is without each single letter: two tokens an edit apart have one in common."""
+    return {token, *(token[:i] + token[i + 1 :] for i in range(len(token)))} if len(token) > 2 else {token}
+
+
+def meeting_keys(kind: str, rest: list[tuple[str, str]]) -> tuple[list[str], list[str]]:
+    """Keys under which a signature looks for others of a similar core, and keys under which it is found.
+
+    Full tokens look for full ones by form, single edit and beginning; abbreviated ones look for all by first letter.
+    """
     if kind == "organisation" or not rest:
-        return [""]
+        return ["*"], ["*"]
     t, shape = rest[0]
-    return sorted({f[0] for f in forms(t)}) if shape == "full" else [t[0]]
+    heads = {t, t.replace("-", ""), t.split("-")[0]} - {""}
+    found = {"i" + f[0] for h in heads for f in forms(h)}
+    if shape != "full":
+        return sorted({"i" + h[0] for h in heads}), sorted(found)
+    own = {"d" + k for h in heads for f in forms(h) for k in typo_keys(f)} | {"b" + h[:3] for h in heads}
+    return sorted(own), sorted(own | found)
 
 
 def _given(a: tuple[str, str], b: tuple[str, str], slack: int) -> float:
@@ -190,48 +234,86 @@ def _short(x: str, y: str) -> bool:
     return bool(m) and len(y) > len(x) and y.startswith(m.group(1))
 
 
+def edits(a: str, b: str, most: int) -> int | None:
+    """How many edits two tokens are apart, None for more than `most`."""
+    return next((n for n in range(most + 1) if close(a, b, n)), None)
+
+
 def same(a: dict, b: dict, slack: int = 1) -> bool:
-    """Whether two settled spellings (kind, core, rest) mean the same: the rare core, which weighs most, must agree up to an
-    edit and no further token may contradict its counterpart. slack: edits allowed in a token, 2 if a third spelling links both."""
-    if a["kind"] != b["kind"]:
-        return False
+    """Whether two signatures (kind, core, rest, weight of the core, weights of the rest) mean the same: whether their score reaches LEAST.
+
+    slack: edits allowed in a token, 2 if a third signature links both.
+    """
+    return a["kind"] == b["kind"] and score(a, b, slack) >= LEAST[a["kind"]]
+
+
+def score(a: dict, b: dict, slack: int = 1) -> float:
+    """Mean similarity of the tokens of two signatures, each counting by the lesser of its weights; -1 if the cores differ."""
     if a["kind"] == "organisation":
-        x, y = [a["core"], *(t for t, _ in a["rest"])], [b["core"], *(t for t, _ in b["rest"])]
-        if len(x) != len(y) or not close(a["core"], b["core"], slack + (len(a["core"]) > 6 and len(x) > 3)):
-            return False
-        left = list(y)
-        for t in x:
-            hit = next((u for u in left if u == t), None) or next((u for u in left if min(len(u), len(t)) > 3 and close(t, u, 1 + (len(t) > 6))), None)
-            if not hit:
-                return False
+        return _mean(_words(a, b))
+    apart = 0 if a["core"] == b["core"] else edits(a["core"], b["core"], slack) if min(len(a["core"]), len(b["core"])) > 3 else None
+    if apart is None:
+        return -1.0
+    weight = min(a["weight"], b["weight"])
+    head = (weight * CORE[apart], weight)
+    if not a["rest"] or not b["rest"]:
+        lone = [(0.0, w[0]) for w in (a["weights"], b["weights"]) if w]
+        return _mean([head, *lone])
+    return max(_mean([head, *_aligned(p, q, slack)]) for p in spread(a["rest"], a["weights"]) for q in spread(b["rest"], b["weights"]))
+
+
+def _mean(parts: list[tuple[float, float]]) -> float:
+    return sum(v for v, _ in parts) / max(sum(w for _, w in parts), 1e-9)
+
+
+def _aligned(p: list, q: list, slack: int) -> list[tuple[float, float]]:
+    """Value and weight of each two further tokens in order; those that one name alone has say nothing."""
+    out = []
+    for (m, u), (n, v) in zip(p, q):
+        s, w = _given(m, n, slack), min(u, v)
+        out.append(((AGAINST if s < 0 else s) * w, w))
+    return out
+
+
+def _words(a: dict, b: dict) -> list[tuple[float, float]]:
+    """Value and weight of the words of two organisations, in any order; a word against another contradicts, one more or less is missing."""
+    own, left = ([(x["core"], x["weight"]), *zip((t for t, _ in x["rest"]), x["weights"])] for x in (a, b))
+    out, alone = [], []
+    for t, w in sorted(own, key=lambda x: -x[1]):
+        hit = next((x for x in left if x[0] == t), None)
+        worth = 1.0
+        if not hit:
+            # of few words none may be more than an edit off
+            most = 1 + (len(t) > 6 and min(len(a["rest"]), len(b["rest"])) > 2)
+            hit, worth = next((x for x in left if min(len(x[0]), len(t)) > 3 and close(t, x[0], most)), None), 0.9
+        if hit:
             left.remove(hit)
-        return True
-    if a["core"] != b["core"] and (min(len(a["core"]), len(b["core"])) < 4 or not close(a["core"], b["core"], slack)):
-        return False
-    return any(_agree(p, q, slack) for p in spread(a["rest"]) for q in spread(b["rest"]))
+            out.append((worth * min(w, hit[1]), min(w, hit[1])))
+        else:
+            alone.append(w)
+    rest = [w for _, w in left]
+    out += [(AGAINST * min(x, y), min(x, y)) for x, y in zip(alone, rest)]
+    more = alone[len(rest) :] + rest[len(alone) :]
+    return out + [(0.0, w) for w in more]
 
 
 def joined(a: dict, b: dict) -> bool:
-    """Whether two spellings that both mean the same as a third, whose first further token is full, mean the same: they do
+    """Whether two signatures that both mean the same as a third, whose first further token is full, mean the same: they do
     unless their cores differ or full tokens contradict; abbreviations may differ, as the third explains both."""
-    if a["kind"] != b["kind"] or not close(a["core"], b["core"], 2):
+    if a["kind"] != b["kind"] or a["kind"] == "person" and not close(a["core"], b["core"], 2):
         return False
     if a["rest"] and b["rest"] and "full" == a["rest"][0][1] == b["rest"][0][1] or a["kind"] == "organisation":
         return same(a, b, 2)
     return bool(a["rest"] and b["rest"])
 
 
-def _agree(p: list[tuple[str, str]], q: list[tuple[str, str]], slack: int) -> bool:
-    return bool(p and q) and all(_given(m, n, slack) >= 0 for m, n in zip(p, q))
-
-
-def spread(rest: list[tuple[str, str]]) -> list[list[tuple[str, str]]]:
-    """Initials written together as single ones; where a full token has a hyphen, also the reading with its parts apart."""
+def spread(rest: list[tuple[str, str]], weights: list[float]) -> list[list[tuple[tuple[str, str], float]]]:
+    """Further tokens with weights: initials written together as single ones; where a full token has a hyphen, also the reading with its parts apart."""
     one, two = [], []
-    for t, s in rest:
-        units = [(c, "initials") for c in t if c != "-"] if s == "initials" else [(t, s)]
+    for (t, s), w in zip(rest, weights):
+        units = [((c, "initials"), w) for c in t if c != "-"] if s == "initials" else [((t, s), w)]
         one += units
-        two += [(c, s) for c in t.split("-") if c] if s == "full" and "-" in t else units
+        two += [((c, s), w) for c in t.split("-") if c] if s == "full" and "-" in t else units
     return [one] if one == two else [one, two]
 
 
@@ -261,7 +343,7 @@ def _tasks(df: DataFrame) -> int:
 
 
 _READ = "name string, kind string, tokens array<string>, core int"
-_SETTLED = "name string, kind string, letter string, core string, rest array<string>"
+_SIGNED = "name string, signature string, kind string, core string, weight double, rest array<string>, weights array<double>, asks array<string>, answers array<string>, asked array<string>, known array<string>"
 
 
 def _join(tokens: list[tuple[str, str]]) -> list[str]:
@@ -272,82 +354,130 @@ def _part(tokens) -> list[tuple[str, str]]:
     return [(t.partition(":")[2], t.partition(":")[0]) for t in tokens]
 
 
-def settled(names: DataFrame, scratch) -> DataFrame:
-    """Each spelling with its core and further tokens, once per first letter under which it may meet others."""
+def weighed(parsed: DataFrame) -> DataFrame:
+    """parsed with `weights` and `given` of its tokens, in their order, from a table of all tokens.
+
+    A token's weight is ln(1 + spellings / spellings with it). It is a given name if, of the spellings of persons that tell
+    the core by their form, more have it beside the core than as it, and more than one.
+    """
+    rows = parsed.select("name", "core", "kind", F.posexplode("tokens").alias("i", "t"))
+    told = (F.col("kind") == "person") & (F.col("core") >= 0) & F.col("t").startswith("full:")
+    beside, own = F.count_if(told & (F.col("i") != F.col("core"))), F.count_if(told & (F.col("i") == F.col("core")))
+    known = rows.groupBy("t").agg(F.count_distinct("name").alias("df"), ((beside > own) & (beside > 1)).alias("given"))
+    total = F.broadcast(parsed.agg(F.count("*").alias("total")))  # one row
+    back = rows.join(known, "t").groupBy("name").agg(F.array_sort(F.collect_list(F.struct("i", "df", "given"))).alias("k"))
+    one = parsed.join(back, "name").join(total)
+    return one.select("name", "kind", "tokens", "core", F.transform("k", lambda x: F.log1p(F.col("total") / x["df"])).alias("weights"), F.col("k.given").alias("given"))
+
+
+def signed(names: DataFrame, scratch) -> DataFrame:
+    """Each spelling with its signature and the keys of it."""
 
     def reading(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(n, p["kind"], _join(p["tokens"]), p["core"]) for n in b["name"] if (p := read(n))]
+            rows = [(n, p["kind"], _join(p["tokens"]), p["core"] if p["kind"] == "person" else -1) for n in b["name"] if (p := read(n))]
             yield pd.DataFrame(rows, columns=["name", "kind", "tokens", "core"])
 
-    parsed = scratch.table(names.mapInPandas(reading, _READ))
-    # the lexicon: tokens that stand beside a core that the form tells more often than as one
-    told = parsed.filter("kind = 'person' and core >= 0").select(F.posexplode("tokens").alias("i", "t"), "core").filter(F.col("t").startswith("full:"))
-    counts = told.groupBy("t").agg(F.count_if(F.col("i") != F.col("core")).alias("given"), F.count_if(F.col("i") == F.col("core")).alias("own"))
-    rows = counts.filter("given > own and given > 1").orderBy(F.desc("given"), "t").limit(LEXICON).toLocalIterator()
-    held = names.sparkSession.sparkContext.broadcast(frozenset(r["t"].partition(":")[2] for r in rows))
-
     def settling(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
-            for n, kind, tokens, core in zip(b["name"], b["kind"], b["tokens"], b["core"]):
-                own, rest = settle({"tokens": _part(tokens), "core": core}, held.value)
-                rows += [(n, kind, letter, own.replace("-", ""), _join(rest)) for letter in first_letters(kind, rest)]
-            yield pd.DataFrame(rows, columns=["name", "kind", "letter", "core", "rest"])
+            for n, kind, tokens, core, weights, given in zip(b["name"], b["kind"], b["tokens"], b["core"], b["weights"], b["given"]):
+                parts = _part(tokens)
+                at = core_of({"kind": kind, "tokens": parts, "core": core}, list(given), list(weights))
+                own, rest = parts[at][0].replace("-", ""), [t for i, t in enumerate(parts) if i != at]
+                if kind == "organisation":  # their words may stand in any order
+                    order = sorted(range(len(rest)), key=lambda i: rest[i])
+                    others = [w for i, w in enumerate(weights) if i != at]
+                    rest, w = [rest[i] for i in order], [others[i] for i in order]
+                else:
+                    w = [x for i, x in enumerate(weights) if i != at]
+                asks, answers = meeting_keys(kind, rest)
+                rows.append((n, "|".join([kind, own, *_join(rest)]), kind, own, weights[at], _join(rest), w, asks, answers, *heads(kind, own, rest, [weights[at], *w])))
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in _SIGNED.split(", ")])
 
-    return scratch.table(parsed.mapInPandas(settling, _SETTLED))
+    parsed = scratch.table(names.mapInPandas(reading, _READ))
+    return scratch.table(weighed(parsed).repartition(_tasks(names)).mapInPandas(settling, _SIGNED))
 
 
-def similar_cores(table: DataFrame) -> DataFrame:
-    """kind, letter, a, b (a < b): cores whose q-gram sets are THRESHOLD alike, by prefix filter, and at most two edits apart."""
-    own = ["kind", "letter", "core"]
-    cores = table.select(*own).distinct()
+def similar_tokens(tokens: DataFrame) -> DataFrame:
+    """a, b: tokens (column core) equal or with q-gram sets THRESHOLD alike and at most two edits apart, both ways round; by prefix filter."""
+    cores = tokens.select("core").distinct()
     padded = F.concat(F.lit("^"), "core", F.lit("$"))
-    grams = cores.select(*own, F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("core") + 3 - Q), lambda i: F.substring(padded, i, F.lit(Q))))).alias("g"))
+    grams = cores.select("core", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("core") + 3 - Q), lambda i: F.substring(padded, i, F.lit(Q))))).alias("g"))
     often = grams.groupBy("g").agg(F.count("*").alias("n"))
-    ranked = grams.join(often, "g").groupBy(*own).agg(F.array_sort(F.collect_list(F.struct("n", "g"))).alias("gs"))
+    ranked = grams.join(often, "g").groupBy("core").agg(F.array_sort(F.collect_list(F.struct("n", "g"))).alias("gs"))
     size = F.size("gs")
-    prefix = ranked.select(*own, size.alias("size"), F.explode(F.slice(F.col("gs.g"), 1, size - F.ceil(size * THRESHOLD).cast("int") + 1)).alias("g"))
-    x, y = prefix.withColumnRenamed("core", "a").withColumnRenamed("size", "n"), prefix.withColumnRenamed("core", "b").withColumnRenamed("size", "m")
-    near = (F.col("a") < F.col("b")) & (F.abs(F.length("a") - F.length("b")) <= 2) & (F.col("n") >= F.col("m") * THRESHOLD) & (F.col("m") >= F.col("n") * THRESHOLD)
-    pairs = x.join(y, ["kind", "letter", "g"]).filter(near).filter(F.levenshtein("a", "b", 2) >= 0)
-    return pairs.select("kind", "letter", "a", "b").distinct()
+    prefix = ranked.select("core", size.alias("size"), F.explode(F.slice(F.col("gs.g"), 1, size - F.ceil(size * THRESHOLD).cast("int") + 1)).alias("g"))
+    # of lengths more than two apart none can be near: the length is part of the key
+    x = prefix.select(F.col("core").alias("a"), F.col("size").alias("n"), "g", F.length("core").alias("l"))
+    y = prefix.select(F.col("core").alias("b"), F.col("size").alias("m"), "g", F.explode(F.sequence(F.length("core") - 2, F.length("core") + 2)).alias("l"))
+    near = (F.col("a") < F.col("b")) & (F.col("n") >= F.col("m") * THRESHOLD) & (F.col("m") >= F.col("n") * THRESHOLD)
+    pairs = x.join(y, ["g", "l"]).filter(near).filter(F.levenshtein("a", "b", 2) >= 0).select("a", "b").distinct()
+    return pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).unionByName(cores.select(F.col("core").alias("a"), F.col("core").alias("b")))
+
+
+_SIDE = ("core", "weight", "rest", "weights")
 
 
 def _verified(pairs: DataFrame, agree) -> DataFrame:
+    """a, b of the pairs of signatures (kind, a, b, and the columns of _SIDE of either) that agree."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            keep = [
-                agree({"kind": k, "core": c, "rest": _part(r)}, {"kind": k, "core": d, "rest": _part(t)})
-                for k, c, r, d, t in zip(b["kind"], b["core_a"], b["rest_a"], b["core_b"], b["rest_b"])
-            ]
-            yield b.loc[keep, ["name_a", "name_b"]]
-
-    slim = pairs.select("kind", "name_a", "core_a", "rest_a", "name_b", "core_b", "rest_b").repartition(_tasks(pairs))
-    return slim.mapInPandas(run, "name_a string, name_b string").distinct()
+            side = lambda s: [dict(zip(("kind", *_SIDE), v)) | {"rest": _part(v[3]), "weights": list(v[4])} for v in zip(b["kind"], *(b[f"{c}_{s}"] for c in _SIDE))]  # noqa: B023, E731
+            keep = [agree(x, y) for x, y in zip(side("a"), side("b"))]
+            yield b.loc[keep, ["a", "b"]]
+
+    slim = pairs.select("kind", "a", "b", *(f"{c}_{s}" for s in "ab" for c in _SIDE)).repartition(_tasks(pairs))
+    return slim.mapInPandas(run, "a string, b string")
+
+
+def linked(signatures: DataFrame, scratch) -> DataFrame:
+    """a, b (a < b): pairs of signatures (signature, kind, _SIDE, asks, answers; one row each) that mean the same."""
+    side = lambda s: signatures.select(F.col("signature").alias(s), *(F.col(c).alias(f"{c}_{s}") for c in _SIDE))
+    near = scratch.table(similar_tokens(signatures.select(F.explode("known").alias("core"))))
+    asks = signatures.select("kind", "asks", F.col("signature").alias("x"), F.explode("asked").alias("a")).select("kind", "a", "x", F.explode("asks").alias("key"))
+    answers = signatures.select("kind", "answers", F.col("signature").alias("y"), F.explode("known").alias("b")).select("kind", "b", "y", F.explode("answers").alias("key"))
+    met = asks.join(near, "a").join(answers, ["kind", "b", "key"]).filter("x <> y")
+    met = met.select("kind", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    direct = scratch.table(_verified(met.join(side("a"), "a").join(side("b"), "b"), same))
+    # signatures linked to a third alike, by two typos or a familiar form in a row
+    third = signatures.filter((F.col("kind") == "organisation") | F.try_element_at("rest", F.lit(1)).startswith("full:")).select(F.col("signature").alias("x"), "kind")
+    ends = direct.select(F.col("a").alias("x"), F.col("b").alias("y")).union(direct.select("b", "a")).join(third, "x")
+    hops = ends.select("kind", "x", F.col("y").alias("a")).join(ends.select("x", F.col("y").alias("b")), "x").filter("a < b").select("kind", "a", "b").distinct()
+    more = _verified(hops.join(direct, ["a", "b"], "left_anti").join(side("a"), "a").join(side("b"), "b"), joined)
+    return scratch.table(direct.unionByName(more))
 
 
 def link(names: DataFrame) -> DataFrame:
-    """name_a, name_b (the smaller first by code points): the pairs of spellings that mean the same person or organisation."""
+    """name_a, name_b (the smaller first by code points): the pairs of spellings that mean the same person or organisation.
+
+    Signatures are linked, never spellings; the pairs of spellings are those of linked signatures and of each signature's own.
+    """
+    from lodestrata.session import Scratch
+
+    scratch = Scratch(names.sparkSession, "names")
+    table = signed(spellings(names), scratch)
+    pairs = linked(_signatures(table), scratch)
+    own = table.select("name", "signature")
+    x, y = own.select(F.col("name").alias("n"), F.col("signature").alias("a")), own.select(F.col("name").alias("m"), F.col("signature").alias("b"))
+    across = pairs.join(x, "a").join(y, "b").select("n", "m")
+    within = x.join(y.withColumnRenamed("b", "a"), "a").filter("n < m").select("n", "m")
+    return across.unionByName(within).select(F.least("n", "m").alias("name_a"), F.greatest("n", "m").alias("name_b")).distinct()
+
+
+def classes(names: DataFrame) -> DataFrame:
+    """name, class (the smallest spelling of its signature), n_spellings of that, n_linked other classes: one row per spelling."""
     from lodestrata.session import Scratch
 
     scratch = Scratch(names.sparkSession, "names")
-    table = settled(spellings(names), scratch)
-    side = lambda s: table.select("kind", "letter", F.col("core").alias(f"core_{s}"), F.col("name").alias(f"name_{s}"), F.col("rest").alias(f"rest_{s}"))
-    cores = similar_cores(table)
-    both = cores.select("kind", "letter", F.col("a").alias("core_a"), F.col("b").alias("core_b"))
-    across = both.join(side("a"), ["kind", "letter", "core_a"]).join(side("b"), ["kind", "letter", "core_b"])
-    within = side("a").join(side("b").withColumn("core_a", F.col("core_b")), ["kind", "letter", "core_a"]).filter("name_a < name_b")
-    columns = ["kind", "name_a", "core_a", "rest_a", "name_b", "core_b", "rest_b"]
-    direct = scratch.table(_verified(within.select(*columns).unionByName(across.select(*columns)), same))
-    # spellings linked to a third alike, by two typos or a familiar form in a row
-    once = table.groupBy("name").agg(F.min("kind").alias("kind"), F.min("core").alias("core"), F.min("rest").alias("rest"))
-    third = once.filter((F.col("kind") == "organisation") | F.try_element_at("rest", F.lit(1)).startswith("full:")).select(F.col("name").alias("x"))
-    ends = direct.select(F.col("name_a").alias("x"), F.col("name_b").alias("y")).union(direct.select("name_b", "name_a")).join(third, "x")
-    hops = ends.select("x", F.col("y").alias("name_a")).join(ends.select("x", F.col("y").alias("name_b")), "x").filter("name_a < name_b").select("name_a", "name_b").distinct()
-    a = once.select("kind", *(F.col(c).alias(f"{c}_a") for c in ("name", "core", "rest")))
-    b = once.select(*(F.col(c).alias(f"{c}_b") for c in ("name", "core", "rest")))
-    ordered = direct.select(F.least("name_a", "name_b").alias("name_a"), F.greatest("name_a", "name_b").alias("name_b"))
-    more = _verified(hops.join(ordered, ["name_a", "name_b"], "left_anti").join(a, "name_a").join(b, "name_b"), joined)
-    found = direct.union(more)
-    return found.select(F.least("name_a", "name_b").alias("name_a"), F.greatest("name_a", "name_b").alias("name_b")).distinct()
+    table = signed(spellings(names), scratch)
+    pairs = linked(_signatures(table), scratch)
+    links = pairs.select("a").union(pairs.select("b")).groupBy(F.col("a").alias("signature")).agg(F.count("*").alias("n_linked"))
+    per = table.groupBy("signature").agg(F.min("name").alias("class"), F.count("*").alias("n_spellings")).join(links, "signature", "left")
+    return table.select("name", "signature").join(per, "signature").select("name", "class", "n_spellings", F.coalesce("n_linked", F.lit(0)).alias("n_linked"))
+
+
+def _signatures(table: DataFrame) -> DataFrame:
+    """One row per signature; of different weights of one reading (as hyphens are dropped from cores) the least."""
+    return table.groupBy("signature").agg(F.min("kind").alias("kind"), F.min("core").alias("core"), F.min("weight").alias("weight"), F.min("rest").alias("rest"), F.min("weights").alias("weights"), F.min("asks").alias("asks"), F.min("answers").alias("answers"), F.min("asked").alias("asked"), F.min("known").alias("known"))

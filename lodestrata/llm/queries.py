@@ -109,6 +109,12 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return names.link(_names(spark, d))
 
 
+@query()
+def p5_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Each spelling with its class, those of one reading, and the number of classes that this one is linked to."""
+    return names.classes(_names(spark, d))
+
+
 # ---- 7: encoding ----
 
 
