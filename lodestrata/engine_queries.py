@@ -14,10 +14,10 @@ from lodestrata.functions import text as T
 from lodestrata.operators import audit as A
 from lodestrata.operators import citations, closure, dedup, integrity, intervals, links, proposals, shredding, structure
 from lodestrata.plans import corpus as C
-from lodestrata.plans import export, search, views
+from lodestrata.plans import export, search, topics, views
 from lodestrata.registry import query
 from lodestrata.registry import sql_id as sid
-from lodestrata.session import load
+from lodestrata.session import kept, load
 from lodestrata.sources import connectors, packs
 
 # ---- full text ----
@@ -55,17 +55,62 @@ _PICKED_THREATS = f"""select * exclude (rn) from (select {sid("id")} tid, {sid("
 _PICKED_CONCEPTS = f"""select * exclude (rn) from (select {sid("id")} cid, *, row_number() over (partition by {sid("id")} order by ingested_at nulls first, recorded_at nulls first) rn from concept where {sid("id")} is not null) where rn = 1"""
 _PICKED_ANCHORS = f"""select * exclude (rn) from (select {sid("anchor_id")} aid, {sid("source_version_id")} sv, *, row_number() over (partition by {sid("anchor_id")} order by ingested_at nulls first, source_uri nulls first, anchor_start nulls first) rn from library_anchor where {sid("anchor_id")} is not null) where rn = 1"""
 _EDGES = f"""select distinct {sid("concept_id")} concept_id, {sid("parent_id")} parent_id from concept_parent where {sid("concept_id")} is not null and {sid("parent_id")} is not null"""
-_CORPUS = f"""select 'concept' record_type, cid record_id, coalesce(label, '') title, concat_ws(' ', description, array_to_string(synonyms, ' ')) body from ({_PICKED_CONCEPTS}) where review_state = 'accepted'
+_DOI = lambda c: f"""nullif(lower(regexp_extract(url_decode(regexp_replace(trim({c}), '^(https?://(dx\\.)?doi\\.[a-z]+/|doi:\\s*)', '', 'i')).regexp_replace('[.,;]+$', ''), '^(10\\.[0-9]{{4,9}}/\\S+)$', 1)), '')"""
+_WORKS = """oa as (select response_id, any_value(search) s from openalex_search where response_id is not null group by response_id), w as (select response_id, s.results[p] w, p - 1 pos from oa, unnest(range(1, len(s.results) + 1)) t(p))"""
+_PMID = lambda c: f"""nullif(regexp_extract(regexp_replace(trim({c}), '^(https?://pubmed\\.ncbi\\.nlm\\.nih\\.gov/|pmid:\\s*)', '', 'i'), '^([1-9][0-9]{{0,8}})/*$', 1), '')"""
+_PMCID = lambda c: f"""nullif(regexp_extract(upper(regexp_replace(trim({c}), '^(https?://(www\\.)?(pmc\\.)?ncbi\\.nlm\\.nih\\.gov/(pmc/)?articles/|https?://europepmc\\.org/article/pmc/|pmcid:\\s*)', '', 'i')), '^(PMC[1-9][0-9]*)/*$', 1), '')"""
+_DATE = lambda c: f"""case when regexp_full_match({c}, '[0-9]{{4}}') then try_cast({c} || '-01-01' as date) when regexp_full_match({c}, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') then try_cast({c} as date) end"""
+_HITS = f"""{_WORKS}, em as (select response_id, any_value(search) s from europe_pmc_search where response_id is not null group by response_id), ej as (select response_id, s::json -> '$.resultList.result' j from em where json_valid(s)),
+el as (select response_id, case json_type(j) when 'ARRAY' then json_extract(j, '$[*]') when 'OBJECT' then [j] end l from ej), er as (select response_id, l[p] w, p - 1 pos from el, unnest(range(1, len(l) + 1)) t(p)),
+ef as (select response_id, pos, w ->> '$.id' id, w ->> '$.source' src, w ->> '$.title' title, {_DOI("(w ->> '$.doi')")} doi, {_PMID("(w ->> '$.pmid')")} pmid, {_PMCID("(w ->> '$.pmcid')")} pmcid, w ->> '$.firstPublicationDate' fd, w ->> '$.pubYear' py,
+regexp_extract(regexp_replace(regexp_replace(upper(trim(w ->> '$.journalIssn')), '^ISSN:?\\s*', ''), '^([0-9]{{4}})([0-9]{{3}}[0-9X])$', '\\1-\\2'), '^([0-9]{{4}}-[0-9]{{3}}[0-9X])$', 1) i from er where json_type(w) = 'OBJECT'),
+eg as (select *, case when i <> '' and list_sum(list_transform(range(1, 9), lambda k: (9 - k) * case replace(i, '-', '')[k] when 'X' then 10 else try_cast(replace(i, '-', '')[k] as int) end)) % 11 = 0 then i end issn from ef),
+hits as (select 'openalex' connector_id, regexp_extract(w.id, '(?:^|/)(W[0-9]+)$', 1) upstream_id, response_id, pos::int "rank", w.display_name title, coalesce('https://doi.org/' || {_DOI("w.doi")}, w.id) locator, {_DATE("w.publication_date")} published_at, w.language "language", w.relevance_score score,
+list_filter(['doi:' || {_DOI("w.doi")}, 'pmid:' || {_PMID("w.ids.pmid")}, 'pmcid:' || {_PMCID("w.ids.pmcid")}], lambda x: x is not null) known_ids from w where regexp_matches(w.id, '(^|/)W[0-9]+$')
+union all select 'europe_pmc', src || ':' || id, response_id, pos::int, title, coalesce('https://doi.org/' || doi, 'https://europepmc.org/article/' || src || '/' || id), coalesce({_DATE("fd")}, {_DATE("py")}), null, greatest(0.0, 100.0 - pos)::double,
+list_filter(['doi:' || doi, 'pmid:' || pmid, 'pmcid:' || pmcid, 'issn:' || issn], lambda x: x is not null) from eg where regexp_full_match(id, '[A-Za-z0-9]+') and regexp_full_match(src, '[A-Z]{{3}}')),
+known as (select distinct split_part(k, ':', 1) kind, substr(k, strpos(k, ':') + 1) "value" from hits, unnest(known_ids) t(k)),
+identifiers as (select *, 'identifier:sha256:' || sha256('{{"kind":' || to_json(kind) || ',"value":' || to_json("value") || '}}') id, case kind when 'doi' then 'https://doi.org/' || "value" when 'pmid' then 'https://pubmed.ncbi.nlm.nih.gov/' || "value" || '/' when 'pmcid' then 'https://www.ncbi.nlm.nih.gov/pmc/articles/' || "value" || '/' end locator from known)"""
+_HIT_LINKS = f"""hl as (select i.id identifier_id, concat_ws('|', connector_id, upstream_id, response_id, "rank") hit_id, case when list_contains(known_ids, i.kind || ':' || i."value") then 'known-id' else 'locator' end match_rule
+from identifiers i join hits h on list_contains(known_ids, i.kind || ':' || i."value") or i.locator = h.locator)"""
+#: Mentions in anchors, which are single blocks of text and name DOIs only; positions and signals as the engine's rules say.
+_REFS = f"""rh as (select *, case when anchor_kind = 'heading' and anchor_start is not null then regexp_matches(exact_text, '(?i)\\b(references?|bibliography|works cited|sources)\\b') end named from ({_PICKED_ANCHORS})),
+ru as (select *, coalesce(last_value(named ignore nulls) over (partition by coalesce(sv, 'anchor ' || aid), page_number order by anchor_start, (anchor_kind <> 'heading')::int, aid rows unbounded preceding), false) and anchor_start is not null under from rh),
+ra as (select * from ru where exact_text is not null), rp as (select *, string_split(exact_text, 'doi:10.') ps from ra where contains(exact_text, 'doi:10.')),
+rm as (select aid, sv, under, exact_text, list_sum(list_transform(ps[1:k], lambda p: len(p))) + 7 * k - 3 start, rtrim(regexp_extract('10.' || ps[k + 1], '^(\\S+)', 1), '.,;:!?''">') raw from rp, unnest(range(1, len(ps))) t(k)),
+rs as (select *, substr(exact_text, greatest(1, start - 95)::bigint, least(96, start)::bigint) before from rm),
+rg as (select *, regexp_extract_all(before, '(?i)\\b(retracts?|retraction\\s+(?:of|for)|corrects?|correction\\s+(?:of|to|for)|updates?|updated\\s+version\\s+of|reviews?|replies?\\s+to|response\\s+to|mentions?|cite|cites|cited|citation)\\b') sg from rs),
+refs as (select aid || '|' || start || '|doi|' || lower(raw) id, aid anchor_id, sv, 'doi' kind, lower(raw) "value", start, case when len(sg) = 0 then if(under, 'cites', 'mentions') when sg[-1] ilike 'retract%' then 'retracts' when sg[-1] ilike 'correct%' then 'corrects' when sg[-1] ilike 'update%' then 'updates'
+when sg[-1] ilike 'review%' then 'reviews' when sg[-1] ilike 'mention%' then 'mentions' when sg[-1] ilike 'cit%' then 'cites' else 'replies_to' end relation, coalesce(lower(sg[-1]), if(under, 'reference-section', 'identifier-occurrence')) signal, 'https://doi.org/' || lower(raw) locator, exact_text exact from rg)"""
+_CONTROVERSIES = """kc as (select 'controversy:customer:' || o_custkey || ':' || strftime(o_orderdate, '%Y') controversy_id, 'claim:' || o_orderkey claim_id, 'customer:' || o_custkey subject, strftime(o_orderdate, '%Y') y, o_orderstatus = 'O' denied from orders where o_orderpriority = '1-URGENT'),
+controversies as (select controversy_id id, subject topic_concept_id, 'Was every order of ' || y || ' urgent for ' || subject || '?' question, 'urgent priority' description, case when bool_or(denied) then 'open' else 'resolved' end status from kc group by controversy_id, subject, y)"""
+_RESOLUTIONS = f"""resolutions as (select 'resolution:' || doi id, doi, min(row(coalesce(w.display_name, ''), coalesce(w.open_access.oa_status, ''), coalesce(w.primary_location.license, ''))) r from (select *, {_DOI("w.doi")} doi from w) where doi is not null group by doi)"""
+_CORPUS = f"""with {_HITS}, {_REFS}, {_CONTROVERSIES}, {_RESOLUTIONS} select 'concept' record_type, cid record_id, coalesce(label, '') title, concat_ws(' ', description, array_to_string(synonyms, ' ')) body from ({_PICKED_CONCEPTS}) where review_state = 'accepted'
 union all select 'source', sid, coalesce(source_uri, ''), concat_ws(' ', connector_id, media_type, license) from ({_PICKED_SOURCES})
+union all select 'source_metadata', 'metadata:' || sid, coalesce(repository, source_uri, ''), concat_ws(' ', connector_id, source_uri, coalesce(license, 'unknown license'), media_type) from ({_PICKED_SOURCES})
 union all select 'threat', tid, coalesce(threat_type, ''), concat_ws(' ', status, severity, detector_id) from ({_PICKED_THREATS})
-union all select 'anchor', aid, coalesce(title, anchor_kind, ''), coalesce(exact_text, '') from ({_PICKED_ANCHORS})
-union all {_DOCS}"""
+union all select 'anchor', aid, coalesce(title, concat_ws(' ', anchor_kind, anchor_start)), coalesce(case when anchor_kind = 'section' then title else exact_text end, '') from ({_PICKED_ANCHORS}) where anchor_kind not in ('document', 'page')
+union all select 'claim', 'claim:' || o_orderkey, 'customer:' || o_custkey || ' order_priority', o_orderpriority || ' clerk ' || case o_orderstatus when 'F' then 'asserts' else 'denies' end || ' reported ' || strftime(o_orderdate, '%Y') from orders where o_orderstatus <> 'P'
+union all select 'evidence', 'evidence:' || l_orderkey || ':' || l_linenumber, 'Evidence from supplier:' || l_suppkey, coalesce(l_returnflag, '') from lineitem
+union all select 'controversy', id, question, description from controversies
+union all select 'gap', 'gap:' || o_orderkey, 'When was order ' || o_orderkey || ' filled?', concat_ws(' ', 'missing-evidence', o_orderpriority) from orders
+union all select 'discovery', concat_ws('|', connector_id, upstream_id, response_id, "rank"), coalesce(title, ''), concat_ws(' ', locator, "language", array_to_string(known_ids, ' ')) from hits
+union all select 'resolution', id, r[1], concat_ws(' ', doi, r[2], r[3]) from resolutions
+union all select 'identifier', id, kind || ' ' || "value", coalesce(locator, '') from identifiers
+union all select 'reference', id, relation || ' ' || kind || ' ' || "value", concat_ws(' ', locator, signal, exact) from refs
+union all select 'proposal', 'proposal:' || s_suppkey, 'Proposed ontology extraction by recorded:model-' || s_nationkey, concat_ws(' ', 'nation ' || s_nationkey, s_name, case when s_acctbal < 0 then 'rejected' else 'proposed' end, 'validator 1') from supplier
+union all select 'document', doc_id::varchar, coalesce(title, concat_ws(' ', 'Untrusted derived text from', source)), coalesce(text, '') from documents"""
 
 _ASKED = search.compile_question("What is the evidence for the disputed methane survey?", limit=25)
 _PHRASE = search.compile_question("water-board canopy field-station", limit=25)
 _TYPED = search.compile_question("poisoned citation monoxide canopy", ("concept", "threat"), limit=25)
 
 
+def _stored(spark: SparkSession, d: str, name: str, corpus) -> search.Index:
+    """The stored index of a corpus, built once per directory."""
+    return kept(spark, d, f"index-{name}", lambda path: search.Index.build(corpus(spark, d), path))
+
+
 def _documents(spark: SparkSession, d: str) -> DataFrame:
     none = F.lit("")
     return load(spark, d, "documents").select(F.lit("document").alias("record_type"), F.col("doc_id").cast("string").alias("record_id"), F.coalesce("title", none).alias("title"), F.coalesce("text", none).alias("body"))
@@ -78,19 +123,19 @@ def _rounded(df: DataFrame) -> DataFrame:
 @query(_bm25_sql(_DOCS, _ASKED, search.KNOWLEDGE))
 def fts_bm25_topk(spark: SparkSession, d: str) -> DataFrame:
     """Flagship: the documents that answer a question best, by BM25 over title and text."""
-    return _rounded(search.ranked(_documents(spark, d), _ASKED))
+    return _rounded(search.ranked(_stored(spark, d, "documents", _documents), _ASKED))
 
 
 @query(_bm25_sql(_DOCS, _PHRASE, search.KNOWLEDGE))
 def fts_prefix_phrase(spark: SparkSession, d: str) -> DataFrame:
     """Terms with punctuation are phrases, the last token of each a prefix."""
-    return _rounded(search.ranked(_documents(spark, d), _PHRASE))
+    return _rounded(search.ranked(_stored(spark, d, "documents", _documents), _PHRASE))
 
 
 @query(_bm25_sql(_CORPUS, _TYPED, search.KNOWLEDGE, _TYPED.record_types))
 def fts_type_filter_global_idf(spark: SparkSession, d: str) -> DataFrame:
     """Search of two record types against the statistics of all."""
-    return _rounded(search.ranked(C.search_corpus(spark, d), _TYPED))
+    return _rounded(search.ranked(_stored(spark, d, "all", C.search_corpus), _TYPED))
 
 
 _ANCHOR_DOCS = f"select 'anchor' record_type, aid record_id, coalesce(title, '') title, coalesce(exact_text, '') body from ({_PICKED_ANCHORS})"
@@ -105,7 +150,7 @@ def _library(spark: SparkSession, d: str) -> DataFrame:
 @query(_bm25_sql(_ANCHOR_DOCS, _LIBRARY, search.LIBRARY))
 def library_query(spark: SparkSession, d: str) -> DataFrame:
     """Search of anchors, the text weighing twice the title."""
-    return _rounded(search.ranked(_library(spark, d), _LIBRARY, search.LIBRARY))
+    return _rounded(search.ranked(_stored(spark, d, "library", _library), _LIBRARY, search.LIBRARY))
 
 
 @query(
@@ -116,7 +161,7 @@ select rk as "rank", record_id, left(body, (4000 - before)::bigint) as text, (le
 def library_context_budget(spark: SparkSession, d: str) -> DataFrame:
     """Exact texts of the best anchors within 4,000 characters."""
     base = _library(spark, d)
-    top = search.ranked(base, _LIBRARY, search.LIBRARY)
+    top = search.ranked(_stored(spark, d, "library", _library), _LIBRARY, search.LIBRARY)
     hits = base.join(F.broadcast(top.select("record_id", "rank")), "record_id").select("rank", "record_id", F.col("body").alias("text"))  # as few as the limit
     return search.context(hits, 4000).select(F.col("rank").cast("int").alias("rank"), "record_id", "text", "complete", "used")
 
@@ -125,7 +170,7 @@ def library_context_budget(spark: SparkSession, d: str) -> DataFrame:
 def fts_snippets(spark: SparkSession, d: str) -> DataFrame:
     """Ranked documents with title and excerpt."""
     base = _documents(spark, d)
-    return search.snippets(search.ranked(base, _ASKED), base, _ASKED)
+    return search.snippets(search.ranked(_stored(spark, d, "documents", _documents), _ASKED), base, _ASKED)
 
 
 @query(
@@ -134,8 +179,7 @@ select q."rank", q.record_id, a.sv source_version_id, s.source_uri, coalesce(t.i
 )
 def library_hits_enriched(spark: SparkSession, d: str) -> DataFrame:
     """Ranked anchors with source and threats."""
-    base = _library(spark, d)
-    top = search.ranked(base, _LIBRARY, search.LIBRARY)
+    top = search.ranked(_stored(spark, d, "library", _library), _LIBRARY, search.LIBRARY)
     e = search.enriched(top, C.anchors(spark, d), C.sources(spark, d), C.threats(spark, d))
     return e.select(F.col("rank").cast("int").alias("rank"), "record_id", "source_version_id", "source_uri", F.to_json("threat_ids").alias("threat_ids"))
 
@@ -205,14 +249,63 @@ def topic_concepts_json(spark: SparkSession, d: str) -> DataFrame:
     return views.topic_concepts(closure.descendants(e, _largest(e), "concept_id", "parent_id"), C.concepts(spark, d), e)
 
 
-@query(f"select distinct s.sid source_version_id, source_uri, tid threat_id, t.severity from ({_PICKED_SOURCES}) s left join ({_PICKED_THREATS}) t on t.sv = s.sid")
-def sources_with_threats(spark: SparkSession, d: str) -> DataFrame:
-    """Every source with its observations, none included."""
-    t = C.threats(spark, d).select(F.col("source_version").alias("source_version_id"), F.col("id").alias("threat_id"), "severity")
-    return C.sources(spark, d).select("source_version_id", "source_uri").join(t, "source_version_id", "left").distinct()
+_TOPIC = _BIG + f""", m as (select node, 0 distance from top union select e.concept_id, m.distance + 1 from e join m on e.parent_id = m.node where distance < 500), s as ({_PICKED_SOURCES}),
+ta as (select cid topic_concept_id, sid source_version_id, coalesce(to_json(list_filter([connector_id], lambda x: x is not null))::varchar, '[]') roles, s.ingested_at recorded_at from ({_PICKED_CONCEPTS}) c join s on left(md5(cid), 2) = left(md5(sid), 2)),
+own as (select distinct source_version_id, roles, recorded_at from ta where topic_concept_id in (select node from m))"""
+
+
+def _topic(spark: SparkSession, d: str) -> DataFrame:
+    """The members of the topic of the concept with most children."""
+    e = C.edges(spark, d)
+    return closure.descendants(e, _largest(e), "concept_id", "parent_id")
+
+
+@query(_TOPIC + " select distinct own.source_version_id, roles, own.recorded_at associated_at, s.source_uri, s.connector_id, s.license, 'metadata:' || sid metadata_id, coalesce(repository, source_uri) title, connector_id publisher, source_uri original_locator, media_type provenance_note from own join s on sid = own.source_version_id")
+def topic_sources(spark: SparkSession, d: str) -> DataFrame:
+    """The sources associated with a topic, with their metadata."""
+    return topics.sources(_topic(spark, d), C.associations(spark, d), C.sources(spark, d), C.source_metadata(spark, d))
+
+
+@query(_TOPIC + f" select distinct t.tid id, t.sv source_version_id, threat_type, status, severity, detected_at, s.source_uri from ({_PICKED_THREATS}) t join s on s.sid = t.sv where t.sv in (select source_version_id from own)")
+def topic_threats(spark: SparkSession, d: str) -> DataFrame:
+    """The observations on a topic's sources."""
+    return topics.threats(_topic(spark, d), C.associations(spark, d), C.sources(spark, d), C.threats(spark, d)).select("id", "source_version_id", "threat_type", "status", "severity", "detected_at", "source_uri")
 
 
-@query(f"select tid id, severity, status, row_number() over (order by severity desc nulls last, tid)::int as position from ({_PICKED_THREATS}) t where sv in (select sid from ({_PICKED_SOURCES})) qualify position <= 100")
+@query(
+    _TOPIC + f""", {_HITS}, {_HIT_LINKS}, {_REFS}, {_RESOLUTIONS}, hh as (select identifier_id, string_agg(distinct hit_id, ',' order by hit_id) ids from hl group by 1), zz as (select i.id identifier_id, string_agg(distinct z.id, ',' order by z.id) ids from identifiers i join resolutions z on i.kind = 'doi' and i."value" = z.doi group by 1)
+select distinct r.id, r.kind, r."value", r.relation, r.signal, r.sv source_version_id, s.source_uri, i.id identifier_id, coalesce(hh.ids, '') resolved_discovery_hit_ids, coalesce(zz.ids, '') resolved_open_access_resolution_ids
+from refs r join s on s.sid = r.sv join mentioned i on i.kind = r.kind and i."value" = r."value" left join hh on hh.identifier_id = i.id left join zz on zz.identifier_id = i.id where r.sv in (select source_version_id from own)""".replace("mentioned i", """(select distinct kind, "value", 'identifier:sha256:' || sha256('{"kind":' || to_json(kind) || ',"value":' || to_json("value") || '}') id from refs union select kind, "value", id from identifiers) i""")
+)
+def topic_references(spark: SparkSession, d: str) -> DataFrame:
+    """The references in a topic's sources, traced to their source, with the hits and resolutions of their identifiers."""
+    h = C.hits(spark, d)
+    refs = C.references(spark, d)
+    traced = topics.provenance(refs, C.anchors(spark, d), C.sources(spark, d))
+    known = C.research_identifiers(h)
+    # identifiers that only texts mention are identifiers too
+    every = known.unionByName(C.identified(refs.select("kind", "value")).join(known.select("id"), "id", "left_anti"))
+    out = topics.references(_topic(spark, d), C.associations(spark, d), traced, every, _hit_links(h, known), topics.resolution_links(every, C.resolutions(spark, d)))
+    return out.select("id", "kind", "value", "relation", "signal", "source_version_id", "source_uri", "identifier_id", "resolved_discovery_hit_ids", "resolved_open_access_resolution_ids")
+
+
+@query(f"with recursive {_MEMBERS}, {_CONTROVERSIES}, l as (select controversy_id, to_json(list(distinct claim_id order by claim_id))::varchar claim_ids from kc group by 1) select id, topic_concept_id, question, status, coalesce(claim_ids, '[]') claim_ids from controversies join members on node = topic_concept_id left join l on controversy_id = id")
+def topic_controversies(spark: SparkSession, d: str) -> DataFrame:
+    """The accepted controversies of a topic with their claims."""
+    out = topics.controversies(_members(spark, d), C.controversies(spark, d), C.controversy_claims(spark, d))
+    return out.select("id", "topic_concept_id", "question", "status", "claim_ids")
+
+
+@query(
+    f"""with recursive {_MEMBERS}, g as (select distinct 'gap:' || l_orderkey gap_id, 'claim:' || l_orderkey claim_id from lineitem where l_quantity >= 45), l as (select gap_id, to_json(list(claim_id order by claim_id))::varchar ids from g group by 1)
+select 'gap:' || o_orderkey id, 'customer:' || o_custkey topic_concept_id, case o_orderstatus when 'F' then 'resolved' else 'open' end status, left(o_orderpriority, 1)::int priority, coalesce(ids, '[]') related_claim_ids from orders join members on node = 'customer:' || o_custkey left join l on gap_id = 'gap:' || o_orderkey"""
+)
+def topic_gaps(spark: SparkSession, d: str) -> DataFrame:
+    """The accepted gaps of a topic with the claims that settle them."""
+    return topics.gaps(_members(spark, d), C.gaps(spark, d), C.gap_claims(spark, d)).select("id", "topic_concept_id", "status", "priority", "related_claim_ids")
+
+
+@query(f"select tid id, severity, status, row_number() over (order by severity desc nulls last, tid)::int as position from ({_PICKED_THREATS}) t where sv in (select sid from ({_PICKED_SOURCES}))")
 def topic_threats_ordered(spark: SparkSession, d: str) -> DataFrame:
     """All observations on known sources with their place in order of severity as text."""
     known = C.threats(spark, d).join(C.sources(spark, d).select(F.col("source_version_id").alias("source_version")), "source_version", "left_semi")
@@ -220,15 +313,18 @@ def topic_threats_ordered(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """select n_name nation, p_brand brand, count(*) n_references, count(distinct o_orderkey) n_claims from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey
-join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey join part on l_partkey = p_partkey join supplier on l_suppkey = s_suppkey group by all"""
+    f"""with b as (select sv s, count(*) n, max(severity) worst from ({_PICKED_THREATS}) where status in ('suspected', 'confirmed') and sv is not null group by 1), a as (select distinct {sid("derived_source_version_id")} dsv, sv from ({_PICKED_ANCHORS})),
+u as (select * from b union all select a.sv, n, worst from b join a on a.dsv = b.s where a.sv is not null) select s source_version_id, sum(n)::bigint n_threats, max(worst) worst from u group by 1"""
 )
-def references_multi_join(spark: SparkSession, d: str) -> DataFrame:
-    """A seven-way join that keeps multiplicity, counted by nation and brand."""
-    t = {n: load(spark, d, n) for n in ("lineitem", "orders", "customer", "nation", "region", "part", "supplier")}
-    j = t["lineitem"].join(t["orders"], F.col("l_orderkey") == F.col("o_orderkey")).join(t["customer"], F.col("o_custkey") == F.col("c_custkey")).join(t["nation"], F.col("c_nationkey") == F.col("n_nationkey"))
-    j = j.join(t["region"], F.col("n_regionkey") == F.col("r_regionkey")).join(t["part"], F.col("l_partkey") == F.col("p_partkey")).join(t["supplier"], F.col("l_suppkey") == F.col("s_suppkey"))
-    return j.groupBy(F.col("n_name").alias("nation"), F.col("p_brand").alias("brand")).agg(F.count("*").alias("n_references"), F.count_distinct("o_orderkey").alias("n_claims"))
+def tainted_sources(spark: SparkSession, d: str) -> DataFrame:
+    """Sources under an active threat, on themselves or on what is derived from them."""
+    return topics.tainted_sources(C.threats(spark, d), C.anchors(spark, d))
+
+
+@query(f"select lower(repository) repository, count(*) n_sources, count(distinct source_uri) n_uris, max(acquired_at) latest from ({_PICKED_SOURCES}) where repository is not null group by 1")
+def repositories_ranked(spark: SparkSession, d: str) -> DataFrame:
+    """Repositories by number of sources, then the latest."""
+    return topics.ranked_repositories(C.sources(spark, d))
 
 
 # ---- deduplication, integrity, drift ----
@@ -334,15 +430,12 @@ def candidates_first_n_distinct(spark: SparkSession, d: str) -> DataFrame:
 def _claim_tables(spark: SparkSession, d: str) -> dict[str, DataFrame]:
     """Claims are orders; a line item is evidence if it was not returned; controversies are the parts of an order's customer and year; gaps are open orders."""
     claim, ev = C.claims(spark, d), C.evidence(spark, d)
-    o = load(spark, d, "orders")
-    gap = o.select(
-        F.concat(F.lit("gap:"), "o_orderkey").alias("id"), F.when(F.col("o_orderstatus") == "F", "resolved").otherwise("open").alias("status"), (F.col("o_orderdate") + F.expr("interval 1 year")).alias("freshness_deadline"), "o_orderkey"
-    )
+    gap = C.gaps(spark, d)
     threat = load(spark, d, "supplier").select(F.concat(F.lit("supplier:"), "s_suppkey").alias("source_id"), F.when(F.col("s_acctbal") < 0, "confirmed").otherwise("remediated").alias("status"))
-    controversy = claim.filter("object = '1-URGENT'").select(F.concat_ws(":", F.lit("controversy"), "subject", "qualifiers").alias("controversy_id"), F.col("id").alias("claim_id"))
+    controversy = C.controversy_claims(spark, d).select("controversy_id", "claim_id")
     return {
         "claim": claim, "claim_evidence": ev.select("claim_id", F.col("id").alias("evidence_id")), "evidence": ev.filter("l_returnflag <> 'R'"), "threat": threat, "controversy_claim": controversy,
-        "gap": gap, "gap_claim": ev.filter("l_quantity >= 45").select(F.regexp_replace("claim_id", "^claim:", "gap:").alias("gap_id")).distinct(),
+        "gap": gap, "gap_claim": C.gap_claims(spark, d).select("gap_id"),
         "reference": load(spark, d, "lineitem").filter("l_returnflag = 'R' and l_linestatus = 'O'").select(F.concat_ws(":", F.lit("ref"), "l_orderkey", "l_linenumber").alias("id"), F.lit("retracts").alias("relation")),
     }
 
@@ -441,10 +534,6 @@ def strictest_action(spark: SparkSession, d: str) -> DataFrame:
     return links.strictest(obs, spark.createDataFrame(_RULE_ROWS, _RULES), "source_id", ["status", "severity"], _STRICT, "sandbox").select("source_id", "action", F.to_json("rule_ids").alias("rule_ids"))
 
 
-_DOI = lambda c: f"""nullif(lower(regexp_extract(url_decode(regexp_replace(trim({c}), '^(https?://(dx\\.)?doi\\.[a-z]+/|doi:\\s*)', '', 'i')).regexp_replace('[.,;]+$', ''), '^(10\\.[0-9]{{4,9}}/\\S+)$', 1)), '')"""
-_WORKS = """oa as (select response_id, any_value(search) s from openalex_search where response_id is not null group by response_id), w as (select response_id, s.results[p] w, p - 1 pos from oa, unnest(range(1, len(s.results) + 1)) t(p))"""
-
-
 @query(f"with {_WORKS} select response_id, pos::int result_pos, w.doi raw, {_DOI('w.doi')} doi from w where w is not null")
 def doi_normalize(spark: SparkSession, d: str) -> DataFrame:
     """DOIs of works in normal form."""
@@ -474,37 +563,59 @@ def orcid_checksum(spark: SparkSession, d: str) -> DataFrame:
     return a.filter("author_orcid is not null").select(F.col("author_orcid").alias("raw")).distinct().withColumn("orcid", I.orcid("raw"))
 
 
-@query()
+@query(f'with {_HITS} select connector_id, upstream_id, response_id, "rank", title, locator, published_at::varchar published_at, "language", score, to_json(known_ids)::varchar known_ids from hits')
 def discovery_hits(spark: SparkSession, d: str) -> DataFrame:
-    """Hits of both search tables with their known identifiers."""
-    return C.hits(spark, d)
+    """Hits of both search tables with their known identifiers as JSON lists."""
+    h = C.hits(spark, d)
+    return h.withColumn("known_ids", F.to_json("known_ids")).withColumn("published_at", F.col("published_at").cast("string"))
 
 
-@query()
+@query(
+    f"""with {_HITS}, o as (select connector_id, upstream_id, locator, min(row(response_id, "rank")) rw from hits group by 1, 2, 3), n as (select *, row_number() over (partition by connector_id order by rw, upstream_id, locator)::int hit_rank from o)
+select connector_id, upstream_id, locator, rw[1] response_id, rw[2] "rank", hit_rank from n where hit_rank <= 100"""
+)
 def discovery_executed(spark: SparkSession, d: str) -> DataFrame:
     """The first hundred distinct hits of each connector."""
-    return connectors.executed(C.hits(spark, d), 100)
+    return connectors.executed(C.hits(spark, d), 100).select("connector_id", "upstream_id", "locator", "at.response_id", "at.rank", "hit_rank")
 
 
-@query()
+def _hit_links(h: DataFrame, ident: DataFrame) -> DataFrame:
+    """Identifiers linked to hits by known id, else by locator."""
+    rules = [("known-id", F.concat_ws(":", "kind", "value"), F.col("known_ids")), ("locator", F.col("locator"), F.col("locator"))]
+    linked = links.link_by_priority(ident, h.withColumn("hit_id", C.hit_id()), rules, "id", "hit_id")
+    return linked.select(F.col("id").alias("identifier_id"), "hit_id", F.col("rule").alias("match_rule"))
+
+
+@query(f"with {_HITS}, {_HIT_LINKS} select distinct identifier_id, hit_id, match_rule from hl")
 def identifier_links(spark: SparkSession, d: str) -> DataFrame:
     """Hits linked to research identifiers by known id, else by locator."""
-    h = C.hits(spark, d).withColumn("hit_id", F.concat_ws("|", "connector_id", "upstream_id", "response_id", "rank"))
-    ident = C.research_identifiers(h)
-    rules = [("known-id", F.concat_ws(":", "kind", "value"), F.col("known_ids")), ("locator", F.col("locator"), F.col("locator"))]
-    return links.link_by_priority(ident, h, rules, "id", "hit_id")
+    h = C.hits(spark, d)
+    return _hit_links(h, C.research_identifiers(h))
 
 
-@query()
+_TOP_ID = """top as (select k from hits, unnest(known_ids) t(k) group by k order by count(*) desc, k limit 1), own as (select i.* from identifiers i join top on k = kind || ':' || "value")"""
+
+
+@query(
+    f"""with {_HITS}, {_HIT_LINKS}, {_REFS}, {_RESOLUTIONS}, {_TOP_ID}, s as ({_PICKED_SOURCES}), dv as (select aid, {sid("derived_source_version_id")} dsv from ({_PICKED_ANCHORS})), th as ({_PICKED_THREATS}),
+rt as (select r.id, string_agg(distinct th.tid, ',' order by th.tid) ids from refs r join dv on dv.aid = r.anchor_id join th on th.sv in (r.sv, dsv) group by r.id)
+select 'reference' part, r.id record_id, relation detail, s.source_uri, coalesce(rt.ids, '') threat_ids from refs r join own on own.kind = r.kind and own."value" = r."value" join s on s.sid = r.sv left join rt on rt.id = r.id
+union select 'hit', hit_id, match_rule, null, '' from hl join own on own.id = identifier_id union select 'resolution', z.id, 'doi', null, '' from resolutions z join own on own.kind = 'doi' and own."value" = z.doi"""
+)
 def identifier_view(spark: SparkSession, d: str) -> DataFrame:
-    """What names the identifier most works have: references in anchors and hits."""
+    """What names the identifier most hits have: references in anchors with their sources' threats, hits, open-access resolutions."""
     h = C.hits(spark, d)
     ident = C.research_identifiers(h)
     top = h.select(F.explode("known_ids").alias("k")).groupBy("k").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "k").limit(1).first()
     kind, value = top["k"].split(":", 1) if top else ("doi", "")
-    refs = citations.extract(citations.under_references(C.anchors(spark, d)), "anchor_id", "exact_text", "under_references")
-    return views.identifier_view(kind, value, ident, refs, h)
+    traced = topics.provenance(C.references(spark, d), C.anchors(spark, d), C.sources(spark, d))
+    return topics.identifier_view(kind, value, ident, traced, C.threats(spark, d), _hit_links(h, ident), topics.resolution_links(ident, C.resolutions(spark, d)))
+
 
+@query(f"with {_REFS} select anchor_id, kind, \"value\", start::bigint as start, relation, signal, locator from refs")
+def anchor_references(spark: SparkSession, d: str) -> DataFrame:
+    """Every identifier that an anchor mentions, with relation and signal."""
+    return C.references(spark, d).select("anchor_id", "kind", "value", "start", "relation", "signal", "locator")
 
 
 @query(

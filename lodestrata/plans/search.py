@@ -15,9 +15,8 @@ from dataclasses import dataclass
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from lodestrata.session import spread
 
@@ -109,49 +108,88 @@ def fast_tokens(text: str) -> list[str]:
     return _WORD.findall(_MARKS[0].sub("", low))
 
 
-POSTINGS = "token string, record_type string, record_id string, field int, positions array<int>"
+POSTINGS = "token string, record_type string, record_id string, field int, n_tokens int, positions array<int>"
 
 
-def index(corpus: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Postings (POSTINGS) and lengths (record_type, record_id, n_tokens) of a corpus of record_type, record_id, title, body."""
+def postings_of(corpus: DataFrame) -> DataFrame:
+    """POSTINGS of a corpus of record_type, record_id, title, body: a row for each distinct token of a field, and one of an empty token for
+    each record; n_tokens is the record's length."""
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            kinds, ids = b.column(0).to_pylist(), b.column(1).to_pylist()
             out: list[tuple] = []
-            for field in (0, 1):
-                for kind, rid, text in zip(kinds, ids, b.column(2 + field).to_pylist()):
+            for kind, rid, *texts in zip(*(b.column(i).to_pylist() for i in range(4))):
+                fields = [fast_tokens(t or "") for t in texts]
+                size = sum(map(len, fields))
+                out.append(("", kind, rid, -1, size, []))
+                for field, words in enumerate(fields):
                     at: dict[str, list[int]] = {}
-                    for p, t in enumerate(fast_tokens(text or "")):
+                    for p, t in enumerate(words):
                         at.setdefault(t, []).append(p)
-                    out += [(t, kind, rid, field, p) for t, p in at.items()]
-            cols = list(zip(*out)) or [()] * 5
-            types = (pa.string(), pa.string(), pa.string(), pa.int32(), pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["token", "record_type", "record_id", "field", "positions"])
+                    out += [(t, kind, rid, field, size, p) for t, p in at.items()]
+            cols = list(zip(*out)) or [()] * 6
+            types = (pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=[c.split()[0] for c in POSTINGS.split(", ")])
 
-    postings = corpus.select("record_type", F.col("record_id").cast("string").alias("record_id"), "title", "body").mapInArrow(post, POSTINGS)
-    tokens_in = lambda c: F.coalesce(c, F.lit(0))
-    found = postings.groupBy("record_type", "record_id").agg(F.sum(F.size("positions")).alias("n_tokens"))
-    every = corpus.select("record_type", F.col("record_id").cast("string").alias("record_id"))
-    return postings, every.join(found, ["record_type", "record_id"], "left").select("record_type", "record_id", tokens_in(F.col("n_tokens")).cast("int").alias("n_tokens"))
+    slim = spread(corpus.select("record_type", F.col("record_id").cast("string").alias("record_id"), "title", "body"))
+    return slim.mapInArrow(post, POSTINGS)
+
+
+class Index:
+    """A stored inverted index: postings in order of token, and one row of statistics of the whole corpus.
+
+    A question reads the ranges of its tokens and nothing else: they are pushed to the scan, and as files and row groups
+    hold ranges of tokens, the rest is skipped. Lengths stand in the postings, so nothing is joined.
+    """
+
+    def __init__(self, spark, path: str):
+        self.spark, self.path = spark, path
+
+    @classmethod
+    def build(cls, corpus: DataFrame, path: str) -> Index:
+        """Reads every text once. A token that very many records hold is cut by record, so no file or task is its alone."""
+        spark = corpus.sparkSession
+        postings_of(corpus).repartitionByRange("token", "record_type", "record_id").sortWithinPartitions("token", "record_type", "record_id").write.parquet(f"{path}/postings")
+        index = cls(spark, path)
+        records = index.postings().filter("token = ''")
+        records.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("n_tokens"), F.count("*").alias("n_records")).write.parquet(f"{path}/statistics")
+        return index
+
+    def postings(self) -> DataFrame:
+        return self.spark.read.schema(POSTINGS).parquet(f"{self.path}/postings")
+
+    def statistics(self) -> tuple[int, int]:
+        """Records and tokens of the corpus."""
+        row = self.spark.read.schema("n_tokens long, n_records long").parquet(f"{self.path}/statistics").first()
+        return row["n_records"], row["n_tokens"]
+
+
+def wanted(plan: Plan) -> Column:
+    """Whether a posting's token is one that the plan asks for, as ranges and values that a scan can use."""
+    out = F.lit(False)
+    for phrase in plan.phrases:
+        *whole, last = phrase
+        for t in whole:
+            out = out | (F.col("token") == t)
+        out = out | F.col("token").startswith(last)
+    return out
 
 
 def matches(postings: DataFrame, plan: Plan) -> DataFrame:
-    """phrase, record_type, record_id, title_tf, body_tf of every record with a phrase of the plan."""
+    """record_type, record_id, n_tokens and per phrase k the places in title and body, t<k> and b<k>, of every record with one."""
     phrases = plan.phrases
     parts = [(k, j, t, j == len(p) - 1, len(p)) for k, p in enumerate(phrases) for j, t in enumerate(p)]
-    some = F.lit(False)
-    for _, _, t, prefix, _ in parts:
-        some = some | (F.col("token").startswith(t) if prefix else F.col("token") == t)
-    wanted = F.array(*(F.when(F.col("token").startswith(t) if prefix else F.col("token") == t, F.struct(F.lit(k).alias("phrase"), F.lit(j).alias("j"), F.lit(n).alias("n"))) for k, j, t, prefix, n in parts))
-    hit = postings.filter(some).select("record_type", "record_id", "field", "positions", F.explode(F.filter(wanted, lambda x: x.isNotNull())).alias("w"))
-    single = hit.filter("w.n = 1").select("record_type", "record_id", "field", F.col("w.phrase").alias("phrase"), F.size("positions").alias("tf"))
+    asked = F.array(*(F.when(F.col("token").startswith(t) if prefix else F.col("token") == t, F.struct(F.lit(k).alias("phrase"), F.lit(j).alias("j"), F.lit(n).alias("n"))) for k, j, t, prefix, n in parts))
+    record = ["record_type", "record_id", "n_tokens"]
+    hit = postings.filter(wanted(plan)).select(*record, "field", "positions", F.explode(F.filter(asked, lambda x: x.isNotNull())).alias("w"))
+    found = hit.filter("w.n = 1").select(*record, "field", F.col("w.phrase").alias("phrase"), F.size("positions").alias("tf"))
     if any(n > 1 for *_, n in parts):
         # a phrase stands where each of its tokens, shifted back by its place, has the same position
-        at = hit.filter("w.n > 1").select("record_type", "record_id", "field", "w", F.explode("positions").alias("p"))
-        stands = at.groupBy("record_type", "record_id", "field", F.col("w.phrase").alias("phrase"), F.col("w.n").alias("n"), (F.col("p") - F.col("w.j")).alias("p")).agg(F.count_distinct("w.j").alias("m")).filter("m = n")
-        single = single.unionByName(stands.select("record_type", "record_id", "field", "phrase", F.lit(1).alias("tf")))
-    return single.groupBy("phrase", "record_type", "record_id").agg(F.sum(F.when(F.col("field") == 0, F.col("tf")).otherwise(0)).alias("title_tf"), F.sum(F.when(F.col("field") == 1, F.col("tf")).otherwise(0)).alias("body_tf"))
+        at = hit.filter("w.n > 1").select(*record, "field", "w", F.explode("positions").alias("p"))
+        stands = at.groupBy(*record, "field", F.col("w.phrase").alias("phrase"), F.col("w.n").alias("n"), (F.col("p") - F.col("w.j")).alias("p")).agg(F.count_distinct("w.j").alias("m")).filter("m = n")
+        found = found.unionByName(stands.select(*record, "field", "phrase", F.lit(1).alias("tf")))
+    tf = [F.sum(F.when((F.col("phrase") == k) & (F.col("field") == f), F.col("tf")).otherwise(0)).alias(f"{'tb'[f]}{k}") for k in range(len(phrases)) for f in (0, 1)]
+    return found.groupBy(*record).agg(*tf)
 
 
 def _count(words: list[str], phrase: tuple[str, ...]) -> int:
@@ -215,31 +253,26 @@ def counted_analysed(table: DataFrame, plan: Plan) -> DataFrame:
     return table.select("record_type", "record_id", "n_tokens", *(x.alias(name) for x, name in zip(tf, _columns(plan))))
 
 
-def counted(postings: DataFrame, lengths: DataFrame, plan: Plan) -> DataFrame:
-    """As scanned, from an index; records without a match count nothing."""
-    found = matches(postings, plan)
-    per = found.groupBy("record_type", "record_id").agg(F.map_from_entries(F.collect_list(F.struct("phrase", F.struct("title_tf", "body_tf").alias("v")))).alias("m"))
-    zero = F.lit(0)
-    tf = [F.coalesce(F.try_element_at("m", F.lit(k))[side], zero).cast("int") for k in range(len(plan.phrases)) for side in ("title_tf", "body_tf")]
-    return lengths.join(per, ["record_type", "record_id"], "left").select("record_type", "record_id", "n_tokens", *(x.alias(name) for x, name in zip(tf, _columns(plan))))
-
-
-def ranked(corpus: DataFrame, plan: Plan, weights: tuple[float, float] = KNOWLEDGE, indexed: tuple[DataFrame, DataFrame] | None = None, ready: bool = False) -> DataFrame:
+def ranked(corpus: DataFrame | Index, plan: Plan, weights: tuple[float, float] = KNOWLEDGE, ready: bool = False) -> DataFrame:
     """record_type, record_id, score (lower is better), rank, truncated of the best plan.limit records.
 
-    Counts are from one pass over the texts, or from `indexed` (index()), which reads no texts, or, if `ready`, from `corpus`
-    being an analysed one. A filter by record type is applied after scoring and leaves the corpus statistics as they are. An empty corpus gives no rows.
+    From an Index only the plan's postings are read; from a corpus all texts, in one pass; if `ready`, `corpus` is an analysed
+    one. A filter by record type is applied after scoring and leaves the corpus statistics as they are. An empty corpus gives no rows.
     """
     from lodestrata.session import Scratch
 
     n = len(plan.phrases)
-    spark = corpus.sparkSession
-    counts = counted_analysed(corpus, plan) if ready else Scratch(spark, "search").table(counted(*indexed, plan) if indexed else scanned(corpus, plan))
     at = lambda k, side: F.col(f"{'tb'[side]}{k}")
-    # a single row: the corpus statistics
-    total = counts.agg(F.count("*").alias("n"), F.sum("n_tokens").alias("t"), *(F.count_if((at(k, 0) + at(k, 1)) > 0).alias(f"df{k}") for k in range(n))).first()
-    n_docs = total["n"]
-    average = (total["t"] or 0) / n_docs if n_docs and total["t"] else 1.0
+    dfs = [F.count_if((at(k, 0) + at(k, 1)) > 0).alias(f"df{k}") for k in range(n)]
+    if isinstance(corpus, Index):
+        counts = Scratch(corpus.spark, "search").table(matches(corpus.postings(), plan))
+        n_docs, tokens_ = corpus.statistics()
+        total = counts.agg(*dfs).first()
+    else:
+        counts = counted_analysed(corpus, plan) if ready else Scratch(corpus.sparkSession, "search").table(scanned(corpus, plan))
+        total = counts.agg(F.count("*").alias("n"), F.sum("n_tokens").alias("t"), *dfs).first()
+        n_docs, tokens_ = total["n"], total["t"] or 0
+    average = tokens_ / n_docs if n_docs and tokens_ else 1.0
     score = F.lit(0.0)
     for k in range(n):
         idf = math.log((n_docs - total[f"df{k}"] + 0.5) / (total[f"df{k}"] + 0.5)) if n_docs else 0.0

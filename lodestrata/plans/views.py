@@ -38,14 +38,6 @@ def topic_concepts(members: DataFrame, concepts: DataFrame, edges: DataFrame) ->
     return own.select("id", "label", F.coalesce("broader", empty).alias("broader"), F.coalesce(F.to_json(F.array_sort(F.array_distinct(F.array_compact("synonyms")))), empty).alias("synonyms"))
 
 
-def identifier_view(kind: str, value: str, identifiers: DataFrame, references: DataFrame, hits: DataFrame) -> DataFrame:
-    """What names one identifier: part (reference, hit), record_id, detail, in order."""
-    own = identifiers.filter((F.col("kind") == kind) & (F.col("value") == value))
-    refs = references.join(own.select("kind", "value"), ["kind", "value"], "left_semi").select(F.lit("reference").alias("part"), F.col("anchor_id").alias("record_id"), F.col("relation").alias("detail"))
-    found = hits.filter(F.array_contains("known_ids", f"{kind}:{value}")).select(F.lit("hit").alias("part"), F.col("upstream_id").alias("record_id"), F.col("locator").alias("detail"))
-    return refs.unionByName(found).distinct()
-
-
 def library_select(sources: DataFrame, ids: list[str] = (), uri_prefixes: list[str] = (), connectors: list[str] = (), repositories: list[str] = (), everything: bool = False) -> DataFrame:
     """The sources that any selector takes. Prefixes and repositories regardless of case. Raises ValueError for unknown ids or repositories."""
     some = F.lit(bool(everything))

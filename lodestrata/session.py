@@ -128,8 +128,21 @@ class Scratch:
         return part(yes, "true"), yes, part(no, "false"), no
 
 
+#: Stored tables that later queries of this process may use again, by application, directory and name.
+_KEPT: dict[tuple[str, str, str], object] = {}
+
+
+def kept(spark: SparkSession, d: str, name: str, make):
+    """What make(path) stored under a path of the shared folder, made once per directory and process."""
+    key = (spark.sparkContext.applicationId, d, name)
+    if key not in _KEPT:
+        _KEPT[key] = make(Scratch(spark, name).root)
+    return _KEPT[key]
+
+
 def clean(spark: SparkSession) -> None:
     """Deletes the intermediate tables of this process; results that read them must have been written before."""
+    _KEPT.clear()
     jvm = spark.sparkContext._jvm
     while _WRITTEN:
         path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())

@@ -6,6 +6,7 @@ import sqlite3
 import pytest
 from pyspark.sql import functions as F
 
+from lodestrata.plans import documents
 from lodestrata.plans import search as S
 
 
@@ -37,12 +38,25 @@ def test_scores_equal_those_of_sqlite(spark, corpus, question, weights):
     assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-6 for k in want)
 
 
-def test_an_index_gives_the_same_as_a_scan(corpus):
+def test_an_index_gives_the_same_as_a_scan(corpus, tmp_path):
     _, df = corpus
-    plan = S.compile_question("water-board alpha", limit=50)
-    a = [tuple(r) for r in S.ranked(df, plan).collect()]
-    assert a == [tuple(r) for r in S.ranked(df, plan, indexed=S.index(df)).collect()] and a
-    assert a == [tuple(r) for r in S.ranked(S.analysed(df), plan, ready=True).collect()]
+    index = S.Index.build(df, f"{tmp_path}/index")
+    for question in ("water-board alpha", "alpha", "zzz"):
+        plan = S.compile_question(question, limit=50)
+        a = [tuple(r) for r in S.ranked(df, plan).collect()]
+        assert a == [tuple(r) for r in S.ranked(index, plan).collect()] and (a or question == "zzz")
+        assert a == [tuple(r) for r in S.ranked(S.analysed(df), plan, ready=True).collect()]
+    assert index.statistics()[0] == df.count()
+    empty = S.Index.build(df.limit(0), f"{tmp_path}/empty")
+    assert empty.statistics() == (0, 0) and S.ranked(empty, plan).count() == 0
+
+
+def test_a_question_reads_only_its_tokens(corpus, tmp_path):
+    _, df = corpus
+    index = S.Index.build(df, f"{tmp_path}/index")
+    plan = S.matches(index.postings(), S.compile_question("alpha water-board"))._jdf.queryExecution().executedPlan().toString()
+    pushed = plan[plan.index("PushedFilters") :]
+    assert "StringStartsWith(token,alpha)" in pushed and "EqualTo(token,water)" in pushed and "MapInArrow" not in plan
 
 
 def test_type_filter_leaves_scores_alone_and_limit_is_probed(corpus):
@@ -86,7 +100,16 @@ def test_snippets_and_context(spark, corpus):
         S.context(hits, 10)
 
 
-def test_corpus_holds_hits_claims_evidence_identifiers_and_references(spark):
+def test_titles_and_bodies(spark):
+    a = spark.createDataFrame([("a", "section", "Part", 1, "x y"), ("b", "paragraph", None, 2, "text"), ("c", "page", "p", 3, "z"), ("d", "section", None, 4, "q")], "id string, kind string, label string, ordinal int, exact string").withColumn("extra", F.lit(1))
+    assert {(r["record_id"], r["title"], r["body"]) for r in documents.corpus({"anchor": a}).collect()} == {("a", "Part", "Part"), ("b", "paragraph 2", "text"), ("d", "section 4", "")}
+    m = spark.createDataFrame([("m", "T", ["A", None], None, "u", None, None, "n")], "id string, title string, authors array<string>, publisher string, original_locator string, license string, usage_conditions array<string>, provenance_note string")
+    assert documents.corpus({"source_metadata": m}).first()["body"] == "A u unknown license n"
+    with pytest.raises(ValueError):
+        documents.corpus({"nothing": a})
+
+
+def test_corpus_holds_all_record_types(spark):
     from pathlib import Path
 
     import __spark_entry__ as entry
@@ -95,5 +118,5 @@ def test_corpus_holds_hits_claims_evidence_identifiers_and_references(spark):
     if not Path(entry.SMALL).exists():
         pytest.skip("no test tables here")
     got = {r["record_type"]: r["count"] for r in corpus.search_corpus(spark, entry.SMALL).groupBy("record_type").count().collect()}
-    assert set(got) == {"concept", "source", "threat", "anchor", "document", "discovery", "claim", "evidence", "identifier", "reference"}
+    assert set(got) == set(documents.DOCUMENTS) and len(got) == 15
     assert got["discovery"] == corpus.hits(spark, entry.SMALL).count() and got["claim"] == corpus.claims(spark, entry.SMALL).filter("review_state = 'accepted'").count()
