@@ -39,7 +39,7 @@ COPIES = 1000
 #: Texts of one band key in a block of the join.
 HOT = 2000
 #: Bytes of band keys in a task, about.
-TASK = 64 << 20
+TASK = 16 << 20
 
 _ODD = [np.uint64(x) for x in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)]  # fixed odd multipliers
 
