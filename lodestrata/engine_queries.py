@@ -762,8 +762,8 @@ def grounded_quotes(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"""with a as ({_PICKED_ANCHORS}), w as (select sv, aid, anchor_start, anchor_kind, list_distinct(regexp_extract_all(lower(exact_text), '[\\p{{L}}\\p{{N}}_]+')) ws from a where exact_text is not null and sv is not null),
-s as (select *, 4 * len(list_intersect(ws, ['methane', 'canopy'])) + 2 * len(list_intersect(ws, ['survey', 'claim', 'evidence'])) + (anchor_kind = 'heading')::int score from w)
+    f"""with a as ({_PICKED_ANCHORS}), w as (select sv, aid, anchor_start, anchor_kind, contains(lower(exact_text), 'github.com/') hosted, list_distinct(regexp_extract_all(lower(exact_text), '[\\p{{L}}\\p{{N}}_]+')) ws from a where exact_text is not null and sv is not null),
+s as (select *, 4 * len(list_intersect(ws, ['methane', 'canopy'])) + 2 * len(list_intersect(ws, ['survey', 'claim', 'evidence'])) + 3 * hosted::int + (anchor_kind = 'heading')::int score from w)
 select sv source_id, aid anchor_id, score::int score from s qualify row_number() over (partition by sv order by score desc, anchor_start nulls first, aid) <= 3"""
 )
 def anchor_selection(spark: SparkSession, d: str) -> DataFrame:

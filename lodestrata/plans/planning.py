@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 STOPWORDS = frozenset("a an and are as at be by do does for from how in is it of on or that the to what which with".split())
 
 
+#: Fixed value: the address whose mention makes an anchor worth more.
+HOST = "github.com/"
+
+
 @dataclass(frozen=True)
 class DiscoveryPlan:
     """What to look for, where, and how much of it."""
@@ -54,11 +58,15 @@ def queue(explicit: list[str], gaps: DataFrame, limit: int) -> list[str]:
 
 
 def selected(anchors: DataFrame, topic: list[str], domain: list[str], limit: int) -> DataFrame:
-    """Of each source the `limit` anchors (source_id, anchor_id, ordinal, kind, text) with most topic and domain words, back in order of ordinal."""
+    """Of each source the `limit` anchors (source_id, anchor_id, ordinal, kind, text) that score most, back in order of ordinal.
+
+    An anchor scores 4 for each topic word, 2 for each domain word, 3 if it names a repository host and 1 if it is a heading.
+    """
     from pyspark.sql import Window
 
     words = F.array_distinct(F.split(F.lower("text"), r"(?U)\W+"))
     hits = lambda terms: F.size(F.array_intersect(words, F.array(*(F.lit(t.lower()) for t in terms)).cast("array<string>")))
-    scored = anchors.withColumn("score", 4 * hits(topic) + 2 * hits(domain) + (F.col("kind") == "heading").cast("int"))
+    hosted = F.contains(F.lower("text"), F.lit(HOST)).cast("int")
+    scored = anchors.withColumn("score", 4 * hits(topic) + 2 * hits(domain) + 3 * hosted + (F.col("kind") == "heading").cast("int"))
     best = F.row_number().over(Window.partitionBy("source_id").orderBy(F.desc("score"), "ordinal", "anchor_id"))
     return scored.withColumn("_n", best).filter(F.col("_n") <= limit).drop("_n").orderBy("source_id", "ordinal", "anchor_id")

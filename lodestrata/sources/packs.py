@@ -57,6 +57,83 @@ def tables(spark: SparkSession, pack: dict) -> dict[str, DataFrame]:
     }
 
 
+def check(pack: dict) -> None:
+    """Raises ValueError if a concept is defined twice, concepts are their own ancestors, or evidence and claims share keys."""
+    ids = [x["id"] for x in pack.get("concepts", [])]
+    if twice := sorted({i for i in ids if ids.count(i) > 1}):
+        raise ValueError(f"concepts defined twice: {twice}")
+    for section in ("evidence", "claims"):
+        keys = [x["key"] for x in pack.get(section, [])]
+        if twice := sorted({k for k in keys if keys.count(k) > 1}):
+            raise ValueError(f"{section} with one key: {twice}")
+    up = {x["id"]: set(x.get("broader", [])) & set(ids) for x in pack.get("concepts", [])}
+    while leaves := {k for k, v in up.items() if not v}:
+        up = {k: v - leaves for k, v in up.items() if k not in leaves}
+    if up:
+        raise ValueError(f"concepts above themselves: {sorted(up)}")
+
+
+def associations(spark: SparkSession, pack: dict) -> DataFrame:
+    """topic_concept_id, source_sha256, roles (sorted): evidence for the sources that are quoted, inspected for those that are named so."""
+    rows = [(pack["topic_concept_id"], d, "inspected") for d in pack.get("inspect_source_sha256s", [])] + [(pack["topic_concept_id"], e["source_content_sha256"], "evidence") for e in pack.get("evidence", [])]
+    df = spark.createDataFrame(rows, "topic_concept_id string, source_sha256 string, role string")
+    return df.groupBy("topic_concept_id", "source_sha256").agg(F.array_sort(F.collect_set("role")).alias("roles"))
+
+
+def poisoned(sources: DataFrame, required: DataFrame) -> DataFrame:
+    """source_sha256 and threat_types of the required sources (source_sha256) whose text (sha256, text) holds hostile instructions."""
+    from lodestrata.functions.redact import scan
+
+    own = sources.select(F.col("sha256").alias("source_sha256"), "text").join(required.select("source_sha256").distinct(), "source_sha256", "left_semi")
+    return scan(own, "source_sha256", "text").groupBy("source_sha256").agg(F.array_sort(F.collect_set("threat_type")).alias("threat_types"))
+
+
+def import_pack(spark: SparkSession, pack: dict, sources: DataFrame) -> dict[str, DataFrame]:
+    """The pack's tables with ranges of its evidence, associations, and threats of the sources it needs; sources: sha256, text.
+
+    Raises ValueError if the pack is not consistent, a source is missing, a quote does not stand in its source, or evidence is
+    from a source with hostile instructions. A pack is as large as its author makes it; sources may be any number.
+    """
+    check(pack)
+    t = tables(spark, pack)
+    links = associations(spark, pack)
+    gone = links.join(sources.select(F.col("sha256").alias("source_sha256")), "source_sha256", "left_anti").select("source_sha256")
+    good, bad = grounded(t["evidence"], sources)
+    threats = poisoned(sources, links)
+    tainted = threats.join(t["evidence"].select("source_sha256"), "source_sha256", "left_semi").select("source_sha256")
+    for what, df in (("sources are not there", gone), ("evidence does not stand in its source", bad.select("id")), ("evidence is from sources with suspected threats", tainted)):
+        if rows := df.distinct().limit(5).collect():
+            raise ValueError(f"{what}: {sorted(r[0] for r in rows)}")
+    return t | {"evidence": good, "association": links, "threat": threats}
+
+
+def import_bundle(spark: SparkSession, bundle: dict, files: DataFrame) -> dict[str, DataFrame]:
+    """The tables of a bundle: sources pinned by digest with their metadata, and a pack over them.
+
+    bundle: sources (path, sha256, title, license), pack; files: path, content. Raises ValueError if a file is missing or its
+    content has another digest, and where import_pack does.
+    """
+    pins = spark.createDataFrame([(x["path"], x["sha256"], x.get("title"), x.get("license")) for x in bundle["sources"]], "path string, sha256 string, title string, license string")
+    both = pins.join(files.select("path", "content"), "path", "left")
+    wrong = both.filter(F.col("content").isNull() | (F.sha2("content", 256) != F.col("sha256"))).select("path")
+    if rows := wrong.limit(5).collect():
+        raise ValueError(f"files that are not there or differ: {sorted(r[0] for r in rows)}")
+    text = both.select("sha256", F.try_validate_utf8(F.col("content").cast("string")).alias("text"))
+    meta = pins.select(F.concat(F.lit("source:sha256:"), "sha256").alias("source_version_id"), "title", "license", F.col("path").alias("original_locator"))
+    return import_pack(spark, bundle["pack"], text) | {"source_metadata": meta}
+
+
+def candidate_bundle(proposal: DataFrame, claims: DataFrame, sources: DataFrame, permissive: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(bundles, refused): per proposal (id, source_sha256) its claims (proposal_id, claim) as one JSON text with its digest, if the license (regardless of case) of its source (sha256, license) is one of `permissive`."""
+    allowed = F.lower("license").isin(*(x.lower() for x in permissive))
+    both = proposal.join(sources.select(F.col("sha256").alias("source_sha256"), "license"), "source_sha256", "left")
+    ok = F.coalesce(allowed, F.lit(False))
+    listed = claims.groupBy(F.col("proposal_id").alias("id")).agg(F.array_sort(F.collect_list("claim")).alias("claims"))
+    out = both.filter(ok).join(listed, "id", "left").withColumn("claims", F.coalesce("claims", F.array().cast("array<string>")))
+    body = F.to_json(F.struct("claims", "id", "license", "source_sha256"))
+    return out.select("id", body.alias("bundle"), F.sha2(body, 256).alias("sha256")), both.filter(~ok).select("id", "license")
+
+
 def grounded(evidence: DataFrame, sources: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(grounded, rejected): evidence (id, source_sha256, exact, start, stop) whose quote stands in the source's text (sha256, text) at its range, or without one exactly once. Offsets are code points."""
     both = evidence.join(sources.select(F.col("sha256").alias("source_sha256"), "text", F.lit(True).alias("_there")), "source_sha256", "left")

@@ -13,7 +13,8 @@ def scan(spark: SparkSession, folder: str, kind: str, schema: T.StructType | str
     """Records of a kind, once each, in typed columns with record_sha256, and the files that were rejected with the reason.
 
     Files are <folder>/<kind>/aa/<sha256>.json, named by the SHA-256 of their content; batches are
-    <folder>/<kind>-batch/... with records and item_sha256s. A name or item that disagrees with its content is rejected.
+    <folder>/<kind>-batch/... with version 1, record_kind, records and as many item_sha256s, each once and in order. A name
+    or item that disagrees with its content, and a batch of another form, is rejected.
     """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json")
     files = reader.load(f"{folder}/{kind}").select("path", F.col("content").cast("string").alias("json"), F.sha2("content", 256).alias("sha"))
@@ -23,7 +24,12 @@ def scan(spark: SparkSession, folder: str, kind: str, schema: T.StructType | str
     rows = good.select("json", F.col("sha").alias("record_sha256"))
     try:
         batches = reader.load(f"{folder}/{kind}-batch").select("path", F.col("content").cast("string").alias("json"))
-        parsed = batches.select("path", F.from_json("json", "records array<string>, item_sha256s array<string>").alias("b"))
+        parsed = batches.select("path", F.from_json("json", "version int, record_kind string, records array<string>, item_sha256s array<string>").alias("b"))
+        digests = F.col("b.item_sha256s")
+        whole = (F.col("b.version") == 1) & (F.col("b.record_kind") == kind) & (F.size("b.records") == F.size(digests)) & (digests == F.array_sort(F.array_distinct(digests)))
+        whole = F.coalesce(whole, F.lit(False))
+        bad = bad.unionByName(parsed.filter(~whole).select("path", F.lit("envelope of the batch is wrong").alias("reason")))
+        parsed = parsed.filter(whole)
         items = parsed.select("path", F.explode(F.arrays_zip(F.col("b.records").alias("r"), F.col("b.item_sha256s").alias("s"))).alias("i"))
         items = items.select("path", F.col("i.r").alias("json"), F.col("i.s").alias("record_sha256"), F.sha2(F.col("i.r"), 256).alias("sha"))
         rows = rows.unionByName(items.filter("sha = record_sha256").select("json", "record_sha256"))
@@ -45,6 +51,35 @@ def sink(df: DataFrame, path: str, key: str = "record_sha256") -> None:
     fresh.write.mode("append").parquet(path)
 
 
+def sink_batch(df: DataFrame, path: str, key: str = "record_sha256") -> int:
+    """Writes the rows not yet at `path`, in order of key and in one go: a table that a reader finds whole or not at all. Returns how many were new."""
+    spark, fresh = df.sparkSession, df.dropDuplicates([key])
+    try:
+        fresh = fresh.join(spark.read.parquet(path).select(key), key, "left_anti")
+    except Exception as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+    from pyspark.sql import Observation
+
+    seen = Observation()
+    fresh.repartitionByRange(key).sortWithinPartitions(key).observe(seen, F.count("*").alias("n")).write.mode("append").parquet(path)
+    return seen.get["n"]
+
+
+def put_blobs(contents: DataFrame, path: str) -> DataFrame:
+    """Stores contents (column content) by their digest in a table at `path`, each once; returns sha256, byte_length of what was given."""
+    rows = contents.filter(F.col("content").isNotNull()).select(F.sha2("content", 256).alias("sha256"), F.octet_length("content").alias("byte_length"), "content")
+    sink(rows, path, "sha256")
+    return rows.select("sha256", "byte_length").distinct()
+
+
+def read_blobs(spark: SparkSession, path: str, wanted: DataFrame) -> DataFrame:
+    """sha256, content of the wanted digests (column sha256); reading one that is missing or whose content has another digest fails."""
+    held = wanted.select("sha256").distinct().join(spark.read.parquet(path).select("sha256", "content"), "sha256", "left")
+    good = F.sha2("content", 256) == F.col("sha256")
+    return held.withColumn("content", F.when(good, F.col("content")).otherwise(F.raise_error(F.concat(F.lit("blob missing or altered: "), "sha256")).cast("binary")))
+
+
 def blobs(spark: SparkSession, folder: str) -> DataFrame:
     """path, sha256, byte_length, content of every file below a folder."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)

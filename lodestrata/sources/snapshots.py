@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from lodestrata.operators import integrity
 
-POINTER = "CURRENT"
+#: Pointers are numbered files; the greatest number counts.
+POINTER = "CURRENT-"
 
 
 def _fs(spark: SparkSession, path: str):
@@ -16,16 +17,25 @@ def _fs(spark: SparkSession, path: str):
     return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
+def _pointers(spark: SparkSession, folder: str) -> list[str]:
+    """The names of all pointers, the latest last."""
+    p, fs = _fs(spark, folder)
+    return sorted(s.getPath().getName() for s in fs.listStatus(p) if s.getPath().getName().startswith(POINTER)) if fs.exists(p) else []
+
+
 def _point(spark: SparkSession, folder: str, snapshot: str) -> None:
-    """Writes the pointer beside the old one, then puts it in its place."""
+    """Writes a pointer beside the others and renames it to the next number: at no time is there none, and a crash leaves the last one valid."""
     jvm = spark.sparkContext._jvm
-    new, fs = _fs(spark, f"{folder}/{POINTER}.new")
+    new, fs = _fs(spark, f"{folder}/pointer-{snapshot}.tmp")
     out = fs.create(new, True)
     out.write(bytearray(snapshot.encode()))
     out.close()
-    old = jvm.org.apache.hadoop.fs.Path(f"{folder}/{POINTER}")
-    fs.delete(old, False)
-    fs.rename(new, old)
+    old = _pointers(spark, folder)
+    number = int(old[-1].removeprefix(POINTER)) + 1 if old else 0
+    if not fs.rename(new, jvm.org.apache.hadoop.fs.Path(f"{folder}/{POINTER}{number:012d}")):
+        raise RuntimeError("another writer took the pointer")
+    for name in old[:-1]:  # the former one stays, for readers who have just listed it
+        fs.delete(jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}"), False)
 
 
 def write(folder: str, tables: dict[str, DataFrame], keys: list[tuple[str, str, str, str]] = ()) -> str:
@@ -54,7 +64,10 @@ def write(folder: str, tables: dict[str, DataFrame], keys: list[tuple[str, str,
 
 def current(spark: SparkSession, folder: str) -> str:
     """The folder of the current snapshot."""
-    return f"{folder}/{spark.read.text(f'{folder}/{POINTER}').first()[0]}"
+    names = _pointers(spark, folder)
+    if not names:
+        raise ValueError(f"no snapshot in {folder}")
+    return f"{folder}/{spark.read.text(f'{folder}/{names[-1]}').first()[0]}"
 
 
 def read(spark: SparkSession, folder: str, name: str) -> DataFrame:

@@ -28,7 +28,8 @@ def test_record_scan_and_sink(spark, tmp_path):
     sha = put(tmp_path, "claim", a)
     (tmp_path / "claim" / "00").mkdir(exist_ok=True)
     (tmp_path / "claim" / "00" / ("0" * 64 + ".json")).write_text("{}")
-    batch = {"version": 1, "record_kind": "claim", "records": [a, b, b + " "], "item_sha256s": [sha, hashlib.sha256(b.encode()).hexdigest(), "x"]}
+    items = [*sorted([(sha, a), (hashlib.sha256(b.encode()).hexdigest(), b)]), ("x", b + " ")]  # in order of digest, as a batch must be
+    batch = {"version": 1, "record_kind": "claim", "records": [r for _, r in items], "item_sha256s": [s for s, _ in items]}
     put(tmp_path, "claim-batch", json.dumps(batch))
     good, bad = records.scan(spark, str(tmp_path), "claim", "id string, n int")
     assert sorted((r["id"], r["n"]) for r in good.collect()) == [("a", 1), ("b", 2)] and bad.count() == 2
