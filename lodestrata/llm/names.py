@@ -7,9 +7,8 @@ organisation it is the rarest word. Spellings with the same reading are one sign
 
 Joining. Cores, and all words of organisations, are joined by their sets of q-grams: in ascending order of frequency, only
 the prefix that any pair at the threshold must share, within lengths that allow it. Two signatures meet if their cores, or
-one of the rarest words of an organisation and any of the other's, are such a pair and their first further tokens may agree: these are keyed by every form of the name with and without each single letter (so that
-one edit anywhere, the first letter included, leaves a key in common), by their beginning for short forms, and by the
-first letter alone where one of them is abbreviated.
+one of the rarest words of an organisation and any of the other's, are such a pair and their first further tokens may agree: these are keyed by the beginning and the end of every form of the name, so that one
+edit anywhere, the first letter included, leaves a key in common, and by the first letter where one of them is abbreviated.
 
 Verifying. The score of two signatures is the mean of their tokens' similarities, each weighted by the lesser weight of
 the two, a contradiction counting against; it must reach LEAST. What two signatures link to a third alike is linked too, if
@@ -186,15 +185,16 @@ def heads(kind: str, core: str, rest: list[tuple[str, str]], weights: list[float
     return asks, sorted({t for _, t in words})
 
 
-def typo_keys(token: str) -> set[str]:
-    """The token and what it is without each single letter: two tokens an edit apart have one in common."""
-    return {token, *(token[:i] + token[i + 1 :] for i in range(len(token)))} if len(token) > 2 else {token}
+def edit_keys(token: str) -> set[str]:
+    """The first three letters, and what follows the first three and four: of two tokens an edit apart either the beginnings agree, or the edit
+    is among the first letters and leaves an end of both alike."""
+    return {"b" + token[:3], "e" + token[3:], "e" + token[4:]}
 
 
 def meeting_keys(kind: str, rest: list[tuple[str, str]]) -> tuple[list[str], list[str]]:
     """Keys under which a signature looks for others of a similar core, and keys under which it is found.
 
-    Full tokens look for full ones by form, single edit and beginning; abbreviated ones look for all by first letter.
+    Full tokens look for full ones by beginning and end of every form; abbreviated ones look for all by first letter.
     """
     if kind == "organisation" or not rest:
         return ["*"], ["*"]
@@ -203,7 +203,7 @@ def meeting_keys(kind: str, rest: list[tuple[str, str]]) -> tuple[list[str], lis
     found = {"i" + f[0] for h in heads for f in forms(h)}
     if shape != "full":
         return sorted({"i" + h[0] for h in heads}), sorted(found)
-    own = {"d" + k for h in heads for f in forms(h) for k in typo_keys(f)} | {"b" + h[:3] for h in heads}
+    own = {k for h in heads for f in forms(h) for k in edit_keys(f)}
     return sorted(own), sorted(own | found)
 
 
@@ -364,10 +364,10 @@ def weighed(parsed: DataFrame) -> DataFrame:
     told = (F.col("kind") == "person") & (F.col("core") >= 0) & F.col("t").startswith("full:")
     beside, own = F.count_if(told & (F.col("i") != F.col("core"))), F.count_if(told & (F.col("i") == F.col("core")))
     known = rows.groupBy("t").agg(F.count_distinct("name").alias("df"), ((beside > own) & (beside > 1)).alias("given"))
-    total = F.broadcast(parsed.agg(F.count("*").alias("total")))  # one row
+    total = F.lit(parsed.count())
     back = rows.join(known, "t").groupBy("name").agg(F.array_sort(F.collect_list(F.struct("i", "df", "given"))).alias("k"))
-    one = parsed.join(back, "name").join(total)
-    return one.select("name", "kind", "tokens", "core", F.transform("k", lambda x: F.log1p(F.col("total") / x["df"])).alias("weights"), F.col("k.given").alias("given"))
+    one = parsed.join(back, "name")
+    return one.select("name", "kind", "tokens", "core", F.transform("k", lambda x: F.log1p(total / x["df"])).alias("weights"), F.col("k.given").alias("given"))
 
 
 def signed(names: DataFrame, scratch) -> DataFrame:

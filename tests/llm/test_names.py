@@ -63,7 +63,6 @@ def test_names_an_edit_apart_anywhere_have_a_key_in_common():
         i = r.randrange(len(x))
         y = r.choice([x[:i] + x[i + 1 :], x[:i] + "z" + x[i:], x[:i] + "z" + x[i + 1 :], x[:i] + x[i : i + 2][::-1] + x[i + 2 :]])
         if len(y) > 2:
-            assert N.typo_keys(x) & N.typo_keys(y), (x, y)
             asks, answers = N.meeting_keys("person", [(x, "full")])[0], N.meeting_keys("person", [(y, "full")])[1]
             assert set(asks) & set(answers)
 
