@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestrata.llm.chars import Rolling, codes, mix, pieces, words
-from lodestrata.session import norm_id, spread
+from lodestrata.session import Scratch, norm_id, spread
 
 #: A pair at the threshold of 0.6 meets in one band at least with probability 0.994, at 0.65 with 0.9996.
 BANDS, ROWS = 64, 5
@@ -165,6 +165,7 @@ def similar_texts(texts: DataFrame, least: float = 0.8, size: int = 5, least_wor
     # one shuffle by key serves the removal of repeats and the counts; keys of one text go no further
     keys = keyed(texts, least_words, size, bands, rows).repartition(parts, "key").dropDuplicates(["key", "cls"])
     met = keys.withColumn("n", F.count("*").over(Window.partitionBy("key"))).filter("n > 1")
+    met = Scratch(spark, "bands").table(met)  # few rows, read by both sides
     blocks = F.ceil(F.col("n") / HOT).cast("int")
     a = met.select("key", F.col("cls").alias("a"), F.pmod(F.xxhash64("cls"), blocks).cast("int").alias("block"))
     b = met.select("key", F.col("cls").alias("b"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"))
@@ -189,8 +190,6 @@ def classes(base: DataFrame) -> DataFrame:
 
 def class_pairs(base: DataFrame, least: float = 0.8, size: int = 5, least_words: int = 1) -> DataFrame:
     """a, b (classes), id_a, id_b (their first records, the smaller first), similarity of every two classes that are alike."""
-    from lodestrata.session import Scratch
-
     pairs = Scratch(base.sparkSession, "neardup").table(similar_texts(base, least, size, least_words))
     first = base.groupBy("cls").agg(F.min("id").alias("first"))
     both = pairs.join(first.select(F.col("cls").alias("a"), F.col("first").alias("x")), "a").join(first.select(F.col("cls").alias("b"), F.col("first").alias("y")), "b")
@@ -202,8 +201,6 @@ def near_duplicates(rows_: DataFrame, key: str, text: str, least: float = 0.8, s
 
     copies: records of one text beyond which they are paired with the first alone; None lists every pair.
     """
-    from lodestrata.session import Scratch
-
     base = based(rows_, key, text, least_words)
     scratch = Scratch(rows_.sparkSession, "neardup")
     pairs = scratch.table(similar_texts(base, least, size, least_words))
