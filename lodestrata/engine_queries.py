@@ -537,7 +537,7 @@ def strictest_action(spark: SparkSession, d: str) -> DataFrame:
 @query(f"with {_WORKS} select response_id, pos::int result_pos, w.doi raw, {_DOI('w.doi')} doi from w where w is not null")
 def doi_normalize(spark: SparkSession, d: str) -> DataFrame:
     """DOIs of works in normal form."""
-    w = shredding.openalex_table(shredding.distinct_responses(load(spark, d, "openalex_search")), "works")
+    w = shredding.openalex_table(shredding.distinct_responses(load(spark, d, "openalex_search", shredding.table_paths("works"))), "works")
     return w.select("response_id", "result_pos", F.col("doi").alias("raw"), I.doi("doi").alias("doi"))
 
 
@@ -547,7 +547,7 @@ s as (select raw, i, list_sum(list_transform(range(1, 9), lambda k: (9 - k) * ca
 )
 def issn_checksum(spark: SparkSession, d: str) -> DataFrame:
     """ISSNs of venues whose check digit is right."""
-    v = shredding.openalex_table(shredding.distinct_responses(load(spark, d, "openalex_search")), "venues")
+    v = shredding.openalex_table(shredding.distinct_responses(load(spark, d, "openalex_search", shredding.table_paths("venues"))), "venues")
     return v.filter("issn_l is not null").select(F.col("issn_l").alias("raw")).distinct().withColumn("issn", I.issn("raw"))
 
 
@@ -559,7 +559,7 @@ select raw, case when o <> '' and c = z then o end orcid from s"""
 )
 def orcid_checksum(spark: SparkSession, d: str) -> DataFrame:
     """ORCIDs of authors whose check character is right."""
-    a = shredding.openalex_table(shredding.distinct_responses(load(spark, d, "openalex_search")), "authorships")
+    a = shredding.openalex_table(shredding.distinct_responses(load(spark, d, "openalex_search", shredding.table_paths("authorships"))), "authorships")
     return a.filter("author_orcid is not null").select(F.col("author_orcid").alias("raw")).distinct().withColumn("orcid", I.orcid("raw"))
 
 

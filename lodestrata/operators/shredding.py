@@ -103,6 +103,8 @@ OPENALEX_NODES = {
     "authorship": ("search.results.authorships", "search.results.authorships.author.id"),
     "institution": ("search.results.authorships.institutions", "search.results.authorships.institutions.ror"),
 }
+#: What openalex_nodes needs of a response; load(..., paths=NODE_PATHS) reads and shuffles nothing else.
+NODE_PATHS = ("response_id", *(key for _, key in OPENALEX_NODES.values()))
 POSITIONS = {"result_pos": "search.results", "author_pos": "search.results.authorships", "institution_pos": "search.results.authorships.institutions", "issn_pos": "search.results.primary_location.source.issn"}
 
 NODE_SCHEMA = "connector string, response_id long, node string, result_pos int, author_pos int, institution_pos int, node_key string"
@@ -133,23 +135,7 @@ def openalex_nodes(responses: DataFrame) -> DataFrame:
         for b in batches:
             yield from nodes_of(_leaves(b.column("search")), b.column("response_id"), "openalex", OPENALEX_NODES)
 
-    from pyspark.sql import functions as F
-
-    # only what the keys need is read: Catalyst prunes the nested schema down to this projection
-    slim = F.struct(
-        F.transform(
-            "search.results",
-            lambda w: F.when(
-                w.isNotNull(),
-                F.struct(
-                    w["id"].alias("id"),
-                    F.when(w["primary_location"].isNotNull(), F.struct(w["primary_location"]["source"].alias("source"))).alias("primary_location"),
-                    w["authorships"].alias("authorships"),
-                ),
-            ),
-        ).alias("results")
-    ).alias("search")
-    return responses.select("response_id", slim).mapInArrow(run, NODE_SCHEMA)
+    return responses.select("response_id", "search").mapInArrow(run, NODE_SCHEMA)
 
 
 #: Fields of a Europe PMC result, as text.
@@ -224,6 +210,12 @@ OPENALEX_TABLES = {
 }
 
 
+def table_paths(table: str) -> tuple[str, ...]:
+    """What a flat table needs of a response."""
+    obj, _, fields = OPENALEX_TABLES[table]
+    return ("response_id", *(obj if obj.endswith(f".{f}") else f"{obj}.{f}" for f in fields))
+
+
 def openalex_table(responses: DataFrame, table: str) -> DataFrame:
     """One flat table of OPENALEX_TABLES; dots of nested fields become underscores. A list of plain values is an object of one field, named as the list."""
     obj, positions, fields = OPENALEX_TABLES[table]

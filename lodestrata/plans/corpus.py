@@ -46,7 +46,7 @@ def anchors(spark: SparkSession, d: str) -> DataFrame:
 
 def hits(spark: SparkSession, d: str) -> DataFrame:
     """Discovery hits of both search tables."""
-    oa = connectors.openalex_hits(shredding.openalex_table(shredding.distinct_responses(load(spark, d, "openalex_search")), "works"))
+    oa = connectors.openalex_hits(shredding.openalex_table(shredding.distinct_responses(load(spark, d, "openalex_search", shredding.table_paths("works"))), "works"))
     ep = connectors.europe_pmc_hits(shredding.epmc_works(shredding.distinct_responses(load(spark, d, "europe_pmc_search"))))
     return oa.unionByName(ep)
 
@@ -70,7 +70,7 @@ def references(spark: SparkSession, d: str) -> DataFrame:
 
 def resolutions(spark: SparkSession, d: str) -> DataFrame:
     """One open-access resolution per DOI of an OpenAlex work: the least (title, status, license) of the works that have it."""
-    w = shredding.openalex_table(shredding.distinct_responses(load(spark, d, "openalex_search")), "works").withColumn("doi", I.doi("doi")).filter("doi is not null")
+    w = shredding.openalex_table(shredding.distinct_responses(load(spark, d, "openalex_search", shredding.table_paths("works"))), "works").withColumn("doi", I.doi("doi")).filter("doi is not null")
     one = F.struct(F.coalesce("display_name", F.lit("")).alias("title"), F.coalesce("open_access_oa_status", F.lit("")).alias("oa_status"), F.coalesce("primary_location_license", F.lit("")).alias("license"))
     best = w.select("doi", one.alias("r")).groupBy("doi").agg(F.min("r").alias("r"))
     return best.select(F.concat(F.lit("resolution:"), "doi").alias("id"), "doi", "r.title", "r.oa_status", F.lit(None).cast("string").alias("genre"), F.array("r.license").alias("locations"))

@@ -40,11 +40,11 @@ union all select 'europe_pmc', response_id, 'result', result_pos::int, -1, -1, c
 )
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     """Every non-null object of both search tables, linked by response and positions."""
-    return S.openalex_nodes(S.distinct_responses(load(spark, d, "openalex_search"))).unionByName(S.epmc_nodes(S.distinct_responses(load(spark, d, "europe_pmc_search"))))
+    return S.openalex_nodes(S.distinct_responses(load(spark, d, "openalex_search", S.NODE_PATHS))).unionByName(S.epmc_nodes(S.distinct_responses(load(spark, d, "europe_pmc_search"))))
 
 
 def _table(name: str) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, d: S.openalex_table(S.distinct_responses(load(spark, d, "openalex_search")), name)
+    return lambda spark, d: S.openalex_table(S.distinct_responses(load(spark, d, "openalex_search", S.table_paths(name))), name)
 
 
 for _name in S.OPENALEX_TABLES:
@@ -109,17 +109,11 @@ def p1_epmc_works(spark: SparkSession, d: str) -> DataFrame:
 
 def _orphans(spark: SparkSession, d: str) -> DataFrame:
     anchors, links = load(spark, d, "library_anchor"), load(spark, d, "concept_parent")
-    one = lambda c: F.array(c)
-    parts = (
-        (anchors, "library_anchor", "anchor_id", "source_version_id", one(R.norm_id("source_version_id")), "library_source", "source_version_id"),
-        (anchors, "library_anchor", "anchor_id", "threat_observation_ids", R.id_list("threat_observation_ids"), "threat_observation", "id"),
-        (links, "concept_parent", "concept_id", "parent_id", one(R.norm_id("parent_id")), "concept", "id"),
-    )
-    out = None
-    for df, table, record, field, refs, target, key in parts:
-        part = R.orphans(R.references(df, table, record, field, refs), R.targets(load(spark, d, target), key))
-        out = part if out is None else out.unionByName(part)
-    return out
+    one = lambda c: F.array(R.norm_id(c))
+    refs = R.references(anchors, "library_anchor", "anchor_id", {"source_version_id": one("source_version_id"), "threat_observation_ids": R.id_list("threat_observation_ids")})
+    refs = refs.unionByName(R.references(links, "concept_parent", "concept_id", {"parent_id": one("parent_id")}))
+    parents = R.targets(load(spark, d, "library_source"), "source_version_id", "source_version_id").unionByName(R.targets(load(spark, d, "threat_observation"), "id", "threat_observation_ids"))
+    return R.orphans(refs, parents.unionByName(R.targets(load(spark, d, "concept"), "id", "parent_id")))
 
 
 _REFS = f"""

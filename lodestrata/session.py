@@ -11,6 +11,7 @@ from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Characters that count as surrounding white space of an id.
 BLANKS = " \t\n\r\x0b\x0c "
@@ -46,9 +47,24 @@ def ship(spark: SparkSession) -> None:
     sc._lodestrata_shipped = True
 
 
-def load(spark: SparkSession, directory: str, table: str) -> DataFrame:
-    """One input table; columns are pruned and filters pushed down by whoever uses it."""
-    return spark.read.parquet(f"{directory}/{table}.parquet")
+def load(spark: SparkSession, directory: str, table: str, paths: list[str] | tuple[str, ...] = ()) -> DataFrame:
+    """One input table; columns are pruned and filters pushed down by whoever uses it.
+
+    paths: the nested fields to read (through lists, with dots), for uses that Catalyst cannot see into; the file's other fields are not read.
+    """
+    path = f"{directory}/{table}.parquet"
+    df = spark.read.parquet(path)
+    return spark.read.schema(pruned(df.schema, [p.split(".") for p in paths])).parquet(path) if paths else df
+
+
+def pruned(kind: T.DataType, paths: list[list[str]]) -> T.DataType:
+    """A type with only the fields that the paths name."""
+    if isinstance(kind, T.ArrayType):
+        return T.ArrayType(pruned(kind.elementType, paths), kind.containsNull)
+    if not isinstance(kind, T.StructType) or any(not p for p in paths):
+        return kind
+    below = {f.name: [p[1:] for p in paths if p[0] == f.name] for f in kind}
+    return T.StructType([T.StructField(f.name, pruned(f.dataType, below[f.name]), f.nullable) for f in kind if below[f.name]])
 
 
 #: A shuffled input of up to so many bytes a core is spread again, as Spark may have coalesced it.

@@ -86,3 +86,14 @@ def test_every_issn_and_response_has_a_row(spark):
     got = sorted(tuple(r) for r in S.openalex_table(S.distinct_responses(df), "venue_issns").collect())
     assert got == [(1, 0, 0, "a"), (1, 0, 2, "b"), (1, 4, 0, "c")]
     assert sorted(tuple(r) for r in S.responses_table(df, S.META).collect()) == [(1, "q", "f", "2", 5, "n", 0.5), (2, "z", None, None, None, None, None)]
+
+
+def test_only_the_named_fields_are_read(spark, tmp_path):
+    from lodestrata.session import load
+
+    df = spark.createDataFrame([(1, ([("W1", "t", [(("A1", "n"), [("r",)]), None])],))], "response_id long, search struct<results array<struct<id:string,title:string,authorships:array<struct<author:struct<id:string,name:string>,institutions:array<struct<ror:string>>>>>>>")
+    df.write.parquet(f"{tmp_path}/openalex_search.parquet")
+    got = load(spark, str(tmp_path), "openalex_search", ("response_id", "search.results.id", "search.results.authorships.institutions.ror"))
+    assert got.schema.simpleString() == "struct<response_id:bigint,search:struct<results:array<struct<id:string,authorships:array<struct<institutions:array<struct<ror:string>>>>>>>>"
+    row = got.first()["search"]["results"][0]
+    assert row["id"] == "W1" and row["authorships"][0]["institutions"][0]["ror"] == "r" and row["authorships"][1] is None
