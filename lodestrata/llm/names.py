@@ -407,7 +407,9 @@ def similar_tokens(tokens: DataFrame) -> DataFrame:
     often = grams.groupBy("g").agg(F.count("*").alias("n"))
     ranked = grams.join(often, "g").groupBy("core").agg(F.array_sort(F.collect_list(F.struct("n", "g"))).alias("gs"))
     size = F.size("gs")
-    prefix = ranked.select("core", size.alias("size"), F.explode(F.slice(F.col("gs.g"), 1, size - F.ceil(size * THRESHOLD).cast("int") + 1)).alias("g"))
+    # two edits leave all but 2 Q of either set's q-grams, so that many and one more are as good a prefix
+    enough = F.least(size - F.ceil(size * THRESHOLD).cast("int") + 1, F.lit(2 * Q + 1))
+    prefix = ranked.select("core", size.alias("size"), F.explode(F.slice(F.col("gs.g"), F.lit(1), enough)).alias("g"))
     # of lengths more than two apart none can be near: the length is part of the key
     x = prefix.select(F.col("core").alias("a"), F.col("size").alias("n"), "g", F.length("core").alias("l"))
     y = prefix.select(F.col("core").alias("b"), F.col("size").alias("m"), "g", F.explode(F.sequence(F.length("core") - 2, F.length("core") + 2)).alias("l"))
