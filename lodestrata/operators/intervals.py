@@ -34,11 +34,26 @@ def covering(refs: DataFrame, anchors: DataFrame, document: str, order: list[Col
     return refs.join(best, [document, "ref_id"], "left")
 
 
+#: Positions of a cell in which intervals are joined first.
+CELL = 1 << 20
+
+
 def islands(df: DataFrame, keys: list[str], start: str, stop: str) -> DataFrame:
-    """Intervals of each key that touch or overlap, joined: keys, first, last, n."""
+    """Intervals of each key that touch or overlap, joined: keys, first, last, n.
+
+    Intervals that begin in one cell of positions are joined there, and only then those of different cells, which are few
+    against them: a key with a third of all rows is spread over its cells.
+    """
+    here = df.select(*keys, F.col(start).alias("first"), F.col(stop).alias("last"), F.lit(1).cast("long").alias("n"), F.floor(F.col(start) / CELL).alias("_cell"))
+    return _joined(_joined(here, [*keys, "_cell"]).drop("_cell"), keys)
+
+
+def _joined(df: DataFrame, keys: list[str]) -> DataFrame:
+    """One level of islands: keys, first, last, n."""
     from pyspark.sql import Window
 
-    w = Window.partitionBy(*keys).orderBy(start, stop)
-    reached = F.max(stop).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    marked = df.withColumn("_new", (reached.isNull() | (F.col(start) > reached)).cast("int")).withColumn("_i", F.sum("_new").over(w))
-    return marked.groupBy(*keys, "_i").agg(F.min(start).alias("first"), F.max(stop).alias("last"), F.count("*").alias("n")).drop("_i")
+    w = Window.partitionBy(*keys).orderBy("first", "last")
+    reached = F.max("last").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    marked = df.withColumn("_new", (reached.isNull() | (F.col("first") > reached)).cast("int"))
+    marked = marked.withColumn("_i", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return marked.groupBy(*keys, "_i").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.sum("n").alias("n")).drop("_i")

@@ -73,6 +73,19 @@ def test_islands(spark):
     assert {(r["k"], r["first"], r["last"], r["n"]) for r in intervals.islands(df, ["k"], "s", "e").collect()} == {("a", 0, 7, 2), ("a", 9, 12, 2), ("b", 1, 1, 1)}
 
 
+def test_islands_across_cells(spark):
+    r = random.Random(3)
+    rows = [("k", s := r.randrange(6 * intervals.CELL), s + r.choice([0, 10, intervals.CELL // 40, 3 * intervals.CELL // 2])) for _ in range(60)] + [("k", 5, 5), ("k", 5, 5)]
+    want: list[list[int]] = []
+    for _, a, z in sorted(rows):
+        if want and a <= want[-1][1]:
+            want[-1][1], want[-1][2] = max(want[-1][1], z), want[-1][2] + 1
+        else:
+            want.append([a, z, 1])
+    got = intervals.islands(spark.createDataFrame(rows, "k string, s long, e long"), ["k"], "s", "e").collect()
+    assert sorted([x["first"], x["last"], x["n"]] for x in got) == want
+
+
 def test_links_keep_the_first_rule(spark):
     x = spark.createDataFrame([("i1", "doi:1", "u1"), ("i2", "doi:2", "u2"), ("i3", None, None)], "id string, known string, url string")
     y = spark.createDataFrame([("h1", ["doi:1", "pmid:3"], "u1"), ("h2", [], "u2"), ("h3", None, None)], "hit string, ids array<string>, url string")
