@@ -38,7 +38,16 @@ def _spans(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return rows, spans.matches(rows, SPAN, Scratch(spark, "spans"))
 
 
-@query()
+_ID = "nullif(lower(trim({c}, ' ' || chr(9) || chr(10) || chr(13) || chr(11) || chr(12))), '')"
+_AID, _SID = _ID.format(c="anchor_id"), _ID.format(c="source_version_id")
+#: Every window of every text, compared as text.
+_SPANS = f"""r as (select {_AID} anchor_id, coalesce({_SID}, '') src, any_value(exact_text) t from library_anchor where {_AID} is not null and length(exact_text) >= {SPAN} group by all),
+w as (select anchor_id, src, i, substr(t, i, {SPAN}) x from r, unnest(range(1, length(t) - {SPAN} + 2)) u(i)), s as (select x from w group by x having count(distinct src) > 1),
+c as (select anchor_id, i from w join s using (x)), g as (select *, case when i - lag(i) over (partition by anchor_id order by i) <= {SPAN} then 0 else 1 end fresh from c), h as (select *, sum(fresh) over (partition by anchor_id order by i) run from g),
+spans as (select anchor_id, min(i)::bigint - 1 span_start, max(i)::bigint + {SPAN} - 1 span_end from h group by anchor_id, run)"""
+
+
+@query(f"with {_SPANS} select anchor_id, span_start, span_end from spans")
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     """The stretches of each anchor that stand word for word in an anchor of another source."""
     rows, found = _spans(spark, d)
@@ -46,7 +55,10 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return spans.exact_spans(found).join(ids, "rec").select("anchor_id", "span_start", "span_end")
 
 
-@query()
+@query(
+    f"""with {_SPANS}, p as (select anchor_id, sum(span_end - span_start)::bigint covered, count(*) n_spans from spans group by 1), a as (select {_AID} anchor_id, coalesce(max(length(exact_text)), 0) n_chars from library_anchor where {_AID} is not null group by 1)
+select anchor_id, n_chars::int n_chars, coalesce(covered, 0) covered, coalesce(n_spans, 0) n_spans, case when covered > 0 then round(covered / n_chars, 6) else 0.0 end shared_share from a left join p using (anchor_id)"""
+)
 def p3_shared(spark: SparkSession, d: str) -> DataFrame:
     """How much of each anchor is shared: characters, covered characters and share, 0 of anchors with none, short or without text."""
     _, found = _spans(spark, d)
@@ -76,20 +88,29 @@ def _near(spark: SparkSession, d: str) -> DataFrame:
     return neardup.near_duplicates(load(spark, d, "library_anchor"), "anchor_id", "exact_text", least=0.6, size=3, least_words=25)
 
 
-@query()
+#: Texts of 25 words and more as sets of three words in a row; copies of one text are one row of `t`.
+_SETS = f"""a as (select distinct {_AID} anchor_id, exact_text x from library_anchor where {_AID} is not null and exact_text is not null), t as (select x, min(anchor_id) first, count(distinct anchor_id) n_copies, regexp_extract_all(lower(x), '[\\p{{L}}\\p{{N}}]+') w from a group by x),
+k as (select x, first, n_copies, list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) s from t where len(w) >= 25), e as (select first, len(s) n, unnest(s) g from k),
+m as (select p.first a, q.first b, any_value(p.n) n, any_value(q.n) o, count(*) shared from e p join e q on p.g = q.g and p.first < q.first group by 1, 2), near as (select a, b, shared / (n + o - shared) similarity from m where shared >= 0.6 * (n + o - shared) - 1e-9)"""
+
+
+@query(
+    f"""with {_SETS}, u as (select a.anchor_id, k.first from a join k using (x)), v as (select x.anchor_id y, z.anchor_id z from near join u x on x.first = near.a join u z on z.first = near.b union all select x.anchor_id, z.anchor_id from u x join u z using (first))
+select distinct least(y, z) anchor_id_a, greatest(y, z) anchor_id_b from v where y <> z"""
+)
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of anchors whose texts are nearly the same."""
     return _near(spark, d).select(F.col("id_a").alias("anchor_id_a"), F.col("id_b").alias("anchor_id_b"))
 
 
-@query()
+@query(f"with {_SETS} select distinct anchor_id, first class_id, n_copies from a join k using (x)")
 def p4_members(spark: SparkSession, d: str) -> DataFrame:
     """Each anchor with the class of equal texts it is in: class_id is the class's first anchor. With p4_class_pairs it holds every link, whatever the number of copies."""
     m = neardup.members(load(spark, d, "library_anchor"), "anchor_id", "exact_text", least_words=25)
     return m.select(F.col("id").alias("anchor_id"), "class_id", "n_copies")
 
 
-@query()
+@query(f"with {_SETS} select a class_a, b class_b, round(similarity, 6) similarity from near")
 def p4_class_pairs(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of classes of equal texts that are nearly the same, each by its first anchor, with their similarity."""
     base = neardup.based(load(spark, d, "library_anchor"), "anchor_id", "exact_text", 25)
