@@ -15,7 +15,7 @@ from lodestrata.operators import audit as A
 from lodestrata.operators import citations, closure, dedup, integrity, intervals, links, proposals, shredding, structure
 from lodestrata.plans import corpus as C
 from lodestrata.plans import export, search, topics, views
-from lodestrata.registry import query
+from lodestrata.registry import SQL, query
 from lodestrata.registry import sql_id as sid
 from lodestrata.session import kept, load
 from lodestrata.sources import connectors, packs
@@ -503,7 +503,13 @@ def audit_resolved_gaps(spark: SparkSession, d: str) -> DataFrame:
     return A.unproved_resolutions(t["gap"], t["gap_claim"])
 
 
-@query()
+_FINDINGS = " union all ".join(f"select rule, severity, record_id from ({SQL[name]})" for name in ("audit_missing_evidence", "audit_tainted_claims", "audit_controversy_positions", "audit_opposing_pairs", "audit_gap_freshness", "audit_resolved_gaps"))
+
+
+@query(
+    f"""select count_if(severity = 'error') n_errors, count_if(severity = 'warning') n_warnings, count_if(severity = 'info') n_infos, count_if(severity = 'error') = 0 clean
+from ({_FINDINGS} union all select 'explicit-retraction-reference', 'warning', 'ref:' || l_orderkey || ':' || l_linenumber from lineitem where l_returnflag = 'R' and l_linestatus = 'O')"""
+)
 def audit_summary(spark: SparkSession, d: str) -> DataFrame:
     """Counts of all findings by severity, and whether there is no error."""
     t = _claim_tables(spark, d)

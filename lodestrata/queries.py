@@ -98,7 +98,11 @@ def p1_epmc_responses(spark: SparkSession, d: str) -> DataFrame:
     return S.responses_table(load(spark, d, "europe_pmc_search"))
 
 
-@query()
+@query(
+    f"""with em as (select response_id, any_value(search) s from europe_pmc_search where response_id is not null group by response_id), ej as (select response_id, s::json -> '$.resultList.result' j from em where json_valid(s)),
+el as (select response_id, case json_type(j) when 'ARRAY' then json_extract(j, '$[*]') when 'OBJECT' then [j] end l from ej), er as (select response_id, l[p] w, p - 1 result_pos from el, unnest(range(1, len(l) + 1)) t(p))
+select response_id, result_pos::int result_pos, {", ".join(f"w ->> '$.{x}' {x}" for x in S.EPMC_FIELDS).replace(" source,", ' "source",')} from er where json_type(w) = 'OBJECT'"""
+)
 def p1_epmc_works(spark: SparkSession, d: str) -> DataFrame:
     """The flat table of Europe PMC results."""
     return S.epmc_works(S.distinct_responses(load(spark, d, "europe_pmc_search")))
@@ -164,7 +168,11 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return t.select(F.col("node").alias("concept_id"), F.col("root").alias("root_id"), F.col("depth").cast("int").alias("depth"))
 
 
-@query()
+@query(
+    _TREE + """, loop as (select distinct id from up where id = node and k > 0), below as (select node, count(*) n, max(k) h from up where node not in (select id from loop) group by 1),
+way as (select up.id, string_agg(up.node, ' > ' order by up.k desc) path from up where up.id in (select id from top) group by 1)
+select ids.id concept_id, coalesce(root_id, '') root_id, coalesce(depth, -1)::int depth, h::int height, n subtree_size, path from ids left join top using (id) left join below on below.node = ids.id left join way using (id)"""
+)
 def p6_paths(spark: SparkSession, d: str) -> DataFrame:
     """Path, depth, root, height and subtree size of every concept."""
     t = H.hierarchy(load(spark, d, "concept_parent"))
