@@ -121,7 +121,8 @@ def p4_class_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _names(spark: SparkSession, d: str) -> DataFrame:
-    return names.openalex_names(distinct_responses(load(spark, d, "openalex_search"))).unionByName(names.epmc_names(distinct_responses(load(spark, d, "europe_pmc_search"))))
+    authors = load(spark, d, "openalex_search", ("response_id", "search.results.authorships.author.display_name"))
+    return names.openalex_names(distinct_responses(authors)).unionByName(names.epmc_names(distinct_responses(load(spark, d, "europe_pmc_search"))))
 
 
 @query()
