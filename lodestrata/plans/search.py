@@ -238,19 +238,18 @@ def analysed(corpus: DataFrame) -> DataFrame:
     return slim.mapInArrow(run, "record_type string, record_id string, title string, body string, n_tokens int")
 
 
-def _places(tokens_: str, phrase: tuple[str, ...]):
-    """Places where a phrase stands in a text of tokens, its last token a prefix: as a blank begins every token, those of the phrase's text."""
+def _places(tokens_: str, phrase: tuple[str, ...]) -> str:
+    """SQL for the places where a phrase stands in a text of tokens, its last token a prefix: as a blank begins every token, those of the phrase's text."""
     text = "".join(f" {t}" for t in phrase)
     if phrase[0] in phrase[1:] or any(phrase[0].startswith(phrase[-1]) for _ in phrase[1:]):  # may overlap itself
-        return F.regexp_count(tokens_, F.lit(f"(?={re.escape(text)})"))
-    gone = F.replace(F.col(tokens_), F.lit(text), F.lit(""))
-    return ((F.octet_length(tokens_) - F.octet_length(gone)) / len(text.encode())).cast("int")
+        return f"regexp_count({tokens_}, r'(?={text})')"
+    return f"cast((octet_length({tokens_}) - octet_length(replace({tokens_}, '{text}', ''))) / {len(text.encode())} as int)"
 
 
 def counted_analysed(table: DataFrame, plan: Plan) -> DataFrame:
-    """As scanned, from an analysed corpus; one pass of native expressions."""
+    """As scanned, from an analysed corpus; one pass of native expressions. Tokens are letters and digits, so they need no quoting."""
     tf = [_places(c, p) for p in plan.phrases for c in ("title", "body")]
-    return table.select("record_type", "record_id", "n_tokens", *(x.alias(name) for x, name in zip(tf, _columns(plan))))
+    return table.selectExpr("record_type", "record_id", "n_tokens", *(f"{x} as {name}" for x, name in zip(tf, _columns(plan))))
 
 
 def ranked(corpus: DataFrame | Index, plan: Plan, weights: tuple[float, float] = KNOWLEDGE, ready: bool = False) -> DataFrame:
@@ -262,29 +261,33 @@ def ranked(corpus: DataFrame | Index, plan: Plan, weights: tuple[float, float] =
     from lodestrata.session import Scratch
 
     n = len(plan.phrases)
-    at = lambda k, side: F.col(f"{'tb'[side]}{k}")
-    dfs = [F.count_if((at(k, 0) + at(k, 1)) > 0).alias(f"df{k}") for k in range(n)]
+    spark = corpus.spark if isinstance(corpus, Index) else corpus.sparkSession
+    dfs = [f"count_if(t{k} + b{k} > 0) as df{k}" for k in range(n)]
     if isinstance(corpus, Index):
-        counts = Scratch(corpus.spark, "search").table(matches(corpus.postings(), plan))
+        counts = Scratch(spark, "search").table(matches(corpus.postings(), plan))
         n_docs, tokens_ = corpus.statistics()
-        total = counts.agg(*dfs).first()
+        total = counts.selectExpr(*dfs).first()
     else:
-        counts = counted_analysed(corpus, plan) if ready else Scratch(corpus.sparkSession, "search").table(scanned(corpus, plan))
-        total = counts.agg(F.count("*").alias("n"), F.sum("n_tokens").alias("t"), *dfs).first()
+        counts = counted_analysed(corpus, plan) if ready else Scratch(spark, "search").table(scanned(corpus, plan))
+        total = counts.selectExpr("count(*) as n", "sum(n_tokens) as t", *dfs).first()
         n_docs, tokens_ = total["n"], total["t"] or 0
     average = tokens_ / n_docs if n_docs and tokens_ else 1.0
-    score = F.lit(0.0)
+    parts = []
     for k in range(n):
         idf = math.log((n_docs - total[f"df{k}"] + 0.5) / (total[f"df{k}"] + 0.5)) if n_docs else 0.0
-        f = weights[0] * at(k, 0) + weights[1] * at(k, 1)
-        score = score + (idf if idf > 0 else 1e-6) * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("n_tokens") / F.lit(average)))
-    some = sum((at(k, 0) + at(k, 1) for k in range(1, n)), at(0, 0) + at(0, 1))
-    hit = counts.filter(some > 0)
+        f = f"({weights[0]}D * t{k} + {weights[1]}D * b{k})"
+        parts.append(f"{idf if idf > 0 else 1e-6!r}D * {f} * {K1 + 1!r}D / ({f} + {K1!r}D * ({1 - B!r}D + {B!r}D * n_tokens / {average!r}D))")
+    hit = counts.filter(" + ".join(f"t{k} + b{k}" for k in range(n)) + " > 0")
     if plan.record_types:
         hit = hit.filter(F.col("record_type").isin(*plan.record_types))
-    top = hit.select("record_type", "record_id", F.round(-score, 9).alias("score")).orderBy("score", "record_type", "record_id").limit(plan.limit + 1)
-    everything = Window.orderBy("score", "record_type", "record_id")  # over limit + 1 rows
-    return top.withColumn("rank", F.row_number().over(everything)).withColumn("truncated", F.count("*").over(Window.partitionBy(F.lit(1))) > plan.limit).filter(F.col("rank") <= plan.limit)
+    # as few rows as the question's limit, so they may come to the driver and be numbered there
+    top = hit.selectExpr("record_type", "record_id", f"round(-({' + '.join(parts)}), 9) as score").orderBy("score", "record_type", "record_id").limit(plan.limit + 1).collect()
+    best = top[: plan.limit]
+    columns = {
+        "record_type": pa.array([r["record_type"] for r in best], pa.string()), "record_id": pa.array([r["record_id"] for r in best], pa.string()), "score": pa.array([r["score"] for r in best], pa.float64()),
+        "rank": pa.array(range(1, len(best) + 1), pa.int32()), "truncated": pa.array([len(top) > plan.limit] * len(best), pa.bool_()),
+    }
+    return spark.createDataFrame(pa.table(columns))
 
 
 def snippets(top: DataFrame, corpus: DataFrame, plan: Plan, width: int = 24) -> DataFrame:
